@@ -6,6 +6,7 @@ from .interleave import op1_media_columns
 from .neardup import op9_minhash_near_dedup
 from .packing import op5_best_fit_packing
 from .quality import op10_quality_classifier
+from .repeats import op8_suffix_array_dedup
 
-QUERIES = {f.__name__: f for f in (op1_media_columns, op5_best_fit_packing, op9_minhash_near_dedup, op10_quality_classifier)}
+QUERIES = {f.__name__: f for f in (op1_media_columns, op5_best_fit_packing, op8_suffix_array_dedup, op9_minhash_near_dedup, op10_quality_classifier)}
 ORACLE_SQL: dict[str, str] = {}
