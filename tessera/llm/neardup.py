@@ -5,9 +5,9 @@
    which lies between 1 and 2 times the count.
 2. Each text gets BANDS * ROWS weighted samples; texts that agree in all samples of a band meet.
 3. Texts that meet are compared by exact weighted Jaccard similarity (0.8 or more links them).
-   A band's bucket of up to SMALL texts compares all; in a larger one all are compared with one
-   leader, those it links leave, and the rest goes on with another leader, so the pairs grow with
-   the rows, not with the square of a group.
+   A band's bucket of up to SMALL texts compares all. In a larger one all are compared with one
+   leader, and those it links leave; the rest meets again in buckets of two bands, then of three, and so
+   on, so the pairs grow with the rows, not with the square of a group.
 4. Connected components of the links are the classes; a class's id is its smallest doc_id.
 
 Equal texts are one node from the start, whatever their number. Defined results: a null text is
@@ -154,23 +154,24 @@ def classes(docs: DataFrame, threshold: float = SIMILARITY, small: int = SMALL)
     signed = stage(signatures(docs, idf), "signatures")
     nodes = signed.groupBy("node").agg(F.first("bands").alias("bands"))
     posts = nodes.select("node", F.posexplode("bands").alias("band", "key"))
-    met = posts.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    posts = stage(posts.join(met, ["band", "key"]), "posts")
-    few = posts.filter(F.col("n") <= small)
-    pairs = few.alias("x").join(few.alias("y"), ["band", "key"]).filter("x.node < y.node").select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-    involved = posts.select("node").distinct()
-    texts = docs.select(text_col().alias("text")).withColumn("node", F.unhex(F.md5("text"))).groupBy("node").agg(F.first("text").alias("text")).join(involved, "node")
-    texts = stage(texts, "texts")
-    rest = posts.filter(F.col("n") > small).select("band", "key", "node")
-    links, more = None, True
-    while more:
-        leaders = rest.groupBy("band", "key").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-        rest = stage(rest.join(leaders, ["band", "key"]).filter("node != a").select("band", "key", "node", "a"), "rest")
-        star = rest.select("a", F.col("node").alias("b")).distinct()
-        found = stage(verified(star if links is not None else star.unionByName(pairs).distinct(), texts, idf).filter(F.col("score") >= threshold), "links")
+    texts, links = None, None
+    while posts is not None:
+        met = posts.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("a")).filter("n > 1")
+        posts = stage(posts.join(met, "key"), "posts")
+        if texts is None:
+            involved = posts.select("node").distinct()
+            every = docs.select(text_col().alias("text")).withColumn("node", F.unhex(F.md5("text")))
+            texts = stage(every.groupBy("node").agg(F.first("text").alias("text")).join(involved, "node"), "texts")
+        few, many = posts.filter(F.col("n") <= small), posts.filter((F.col("n") > small) & (F.col("node") != F.col("a")))
+        close = few.alias("x").join(few.alias("y"), "key").filter("x.node < y.node").select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+        pairs = close.unionByName(many.select("a", F.col("node").alias("b"))).distinct()
+        found = stage(verified(pairs, texts, idf).filter(F.col("score") >= threshold), "links")
         links = found if links is None else links.unionByName(found)
-        rest = rest.join(found.select("a", F.col("b").alias("node")), ["a", "node"], "left_anti").select("band", "key", "node")
-        more = bool(rest.take(1))
+        rest = many.join(found.select("a", F.col("b").alias("node")), ["a", "node"], "left_anti")
+        if not rest.take(1):
+            break
+        deeper = F.filter(F.transform("bands", lambda k, i: F.when(i > F.col("band"), F.struct(i.alias("band"), F.xxhash64("key", k).alias("key")))), lambda x: x.isNotNull())
+        posts = rest.select("node", "band", "key").join(nodes, "node").select("node", F.explode(deeper).alias("p")).select("node", "p.band", "p.key")
     roots = components(links.select("a", "b"))
     member = signed.select("doc_id", "node").join(roots, "node", "left").select("doc_id", "node", F.coalesce("root", "node").alias("root"))
     ids = member.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
