@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 import pyarrow as pa
@@ -51,6 +52,27 @@ def chunks_or_block(answers: list[Column], block: Column) -> Column:
     return F.coalesce(*[valid_chunks(a) for a in answers], F.array(block))
 
 
+def model_chunks(block: Column, model: Complete, tries: int = 3) -> Column:
+    """Asks a model to cut a block, up to `tries` times; without a valid answer the block stays whole. Errors of the connection are not hidden."""
+
+    def cut(text: str) -> list[str]:
+        for _ in range(tries):
+            try:
+                found = json.loads(model(f"{CHUNK_PROMPT}\n\n{text}"))["chunks"]
+            except (ValueError, KeyError):
+                continue
+            kept = [x for x in found if isinstance(x, str) and x.strip()] if isinstance(found, list) else []
+            if kept:
+                return kept
+        return [text]
+
+    @F.arrow_udf("array<string>")
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.array([cut(t) for t in texts.to_pylist()], pa.list_(pa.string()))
+
+    return run(block)
+
+
 def context_prompt(document: Column, chunk: Column) -> Column:
     return F.concat(F.lit("Document:\n"), document, F.lit("\n\nPart:\n"), chunk, F.lit("\n\nSay in one sentence what the part is about."))
 

@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.config import IndexConfig
+from tessera.functions import point_id
 from tessera.operators import store
-from tessera.operators.chunk import Complete, chunks_or_block, complete, context_prompt, number_chunks
+from tessera.operators.chunk import Complete, complete, context_prompt, model_chunks, number_chunks
 from tessera.operators.embed import Embed, dense, dense_text, hashed_embedding
 from tessera.operators.split import parts, recursive
 
@@ -27,16 +28,12 @@ class Indexer:
     def chunk(self, docs: DataFrame) -> DataFrame:
         limit = self.config.safe_limit
         model = self.model
-        cut = None
-        if self.config.chunker == "llm" and model:
-            cut = lambda b: F.array(b)
         blocks: Column = parts(lambda t: recursive(t, limit), F.coalesce("text", F.lit("")))
-        rows = number_chunks(docs.withColumnRenamed("id", "doc_id"), blocks, limit, cut)
+        rows = number_chunks(docs.withColumnRenamed("id", "doc_id"), blocks, limit)
         if self.config.chunker == "llm" and model:
-            asked = rows.withColumn("__c", chunks_or_block([complete(F.concat(F.lit("Divide: "), F.col("text")), model, "")], F.col("text")))
-            flat = asked.groupBy("doc_id", "path", "updated_at").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("order", "__c"))), lambda x: x["__c"])).alias("__t"))
-            many = flat.select("doc_id", "path", "updated_at", F.size("__t").alias("total"), F.posexplode("__t").alias("order", "text"))
-            rows = many.select(F.expr("concat_ws('#', doc_id, order)").alias("id"), "doc_id", "path", "order", "total", "text", F.lit("").alias("context"), "updated_at")
+            cut = rows.withColumn("__c", model_chunks(F.col("text"), model)).groupBy("doc_id", "path", "updated_at").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("order", "__c"))), lambda x: x["__c"])).alias("__t"))
+            many = cut.select("doc_id", "path", "updated_at", F.size("__t").alias("total"), F.posexplode("__t").alias("order", "text"))
+            rows = many.select(point_id(F.concat_ws("#", "doc_id", "order")).alias("id"), "doc_id", "path", "order", "total", "text", F.lit("").alias("context"), "updated_at")
         if self.config.context == "llm" and model:
             whole = docs.select(F.col("id").alias("doc_id"), F.col("text").alias("__doc"))
             rows = rows.join(whole, "doc_id").withColumn("context", complete(context_prompt(F.col("__doc"), F.col("text")), model, "")).drop("__doc")
