@@ -85,7 +85,7 @@ def sentences(text: str) -> list[str]:
     """Sentences of a text: comment signs at line starts go, lines of a paragraph are joined, full stops before blanks end a sentence."""
     out = []
     for paragraph in re.split(r"\n\s*\n", COMMENT.sub("", text)):
-        lines = re.split(r"(?<=[.!?:;])\s+", paragraph)
+        lines = re.split(r"(?<=[.!?;])\s+", paragraph)
         out += [normalised(x) for x in lines]
     return [x for x in out if x]
 

@@ -1,13 +1,14 @@
 """Near-duplicates by improved consistent weighted sampling over TF-IDF word shingles.
 
 1. Document frequencies of five-word shingles are counted over all documents in 2**18 hash
-   buckets; a shingle's weight is its count in the text times 1 + log((1 + N) / (1 + df)) / log(1 + N),
-   which lies between 1 and 2 times the count.
+   buckets; a shingle's weight is its count in the text times 1 + SPREAD * log((1 + N) / (1 + df)) / log(1 + N),
+   which lies between 1 and 1 + SPREAD times the count, so that edits of a text that has very many copies don't outweigh it.
 2. Each text gets BANDS * ROWS weighted samples; texts that agree in all samples of a band meet.
 3. Texts that meet are compared by exact weighted Jaccard similarity (0.8 or more links them).
    A band's bucket of up to SMALL texts compares all. In a larger one all are compared with one
-   leader, and those it links leave; the rest meets again in buckets of two bands, then of three, and so
-   on, so the pairs grow with the rows, not with the square of a group.
+   leader; unless links have by then made one class of all, its texts meet again in buckets of two bands, then
+   of three, and so on, and only texts of different classes are compared there. So the pairs grow with the
+   rows, not with the square of a group.
 4. Connected components of the links are the classes; a class's id is its smallest doc_id.
 
 Equal texts are one node from the start, whatever their number. Defined results: a null text is
@@ -30,7 +31,7 @@ from .common import read_table, stage, text_col
 from .graph import components
 from .kernels import mix, salt, shingles, text_slices
 
-WIDTH, SIMILARITY, BANDS, ROWS, BUCKETS, SMALL = 5, 0.8, 12, 3, 18, 16
+WIDTH, SIMILARITY, BANDS, ROWS, BUCKETS, SMALL, SPREAD = 5, 0.8, 12, 3, 18, 16, 0.25
 
 
 def bucket(h: np.ndarray) -> np.ndarray:
@@ -57,7 +58,7 @@ def weights(docs: DataFrame) -> np.ndarray:
     df = np.zeros(1 << BUCKETS)
     df[k[k >= 0]] = n[k >= 0]
     total = float(n[k < 0].sum())
-    return (1 + np.log((1 + total) / (1 + df)) / max(np.log(1 + total), 1e-9)).astype(np.float32) if total else np.ones(1 << BUCKETS, np.float32)
+    return (1 + SPREAD * np.log((1 + total) / (1 + df)) / max(np.log(1 + total), 1e-9)).astype(np.float32) if total else np.ones(1 << BUCKETS, np.float32)
 
 
 def samples(h: np.ndarray, w: np.ndarray, starts: np.ndarray, count: int) -> np.ndarray:
@@ -153,26 +154,28 @@ def classes(docs: DataFrame, threshold: float = SIMILARITY, small: int = SMALL)
     idf = weights(docs)
     signed = stage(signatures(docs, idf), "signatures")
     nodes = signed.groupBy("node").agg(F.first("bands").alias("bands"))
-    posts = nodes.select("node", F.posexplode("bands").alias("band", "key"))
-    texts, links = None, None
-    while posts is not None:
-        met = posts.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("a")).filter("n > 1")
+    posts = nodes.select("node", F.col("node").alias("root"), F.posexplode("bands").alias("band", "key"))
+    texts, links, roots = None, None, None
+    while True:
+        met = posts.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("node", "root")).alias("a"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").drop("lo", "hi")
         posts = stage(posts.join(met, "key"), "posts")
         if texts is None:
             involved = posts.select("node").distinct()
             every = docs.select(text_col().alias("text")).withColumn("node", F.unhex(F.md5("text")))
             texts = stage(every.groupBy("node").agg(F.first("text").alias("text")).join(involved, "node"), "texts")
-        few, many = posts.filter(F.col("n") <= small), posts.filter((F.col("n") > small) & (F.col("node") != F.col("a")))
-        close = few.alias("x").join(few.alias("y"), "key").filter("x.node < y.node").select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-        pairs = close.unionByName(many.select("a", F.col("node").alias("b"))).distinct()
+        few, many = posts.filter(F.col("n") <= small), posts.filter((F.col("n") > small) & (F.col("node") != F.col("a.node")))
+        close = few.alias("x").join(few.alias("y"), "key").filter("x.node < y.node AND x.root <> y.root").select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+        pairs = close.unionByName(many.filter("root <> a.root").select(F.col("a.node").alias("a"), F.col("node").alias("b"))).distinct()
         found = stage(verified(pairs, texts, idf).filter(F.col("score") >= threshold), "links")
         links = found if links is None else links.unionByName(found)
-        rest = many.join(found.select("a", F.col("b").alias("node")), ["a", "node"], "left_anti")
+        roots = components(links.select("a", "b"))
+        rest = many.select("key", "band", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        mixed = rest.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key")
+        rest = stage(rest.join(mixed, "key"), "rest")
         if not rest.take(1):
             break
         deeper = F.filter(F.transform("bands", lambda k, i: F.when(i > F.col("band"), F.struct(i.alias("band"), F.xxhash64("key", k).alias("key")))), lambda x: x.isNotNull())
-        posts = rest.select("node", "band", "key").join(nodes, "node").select("node", F.explode(deeper).alias("p")).select("node", "p.band", "p.key")
-    roots = components(links.select("a", "b"))
+        posts = rest.select("node", "root", "band", "key").join(nodes, "node").select("node", "root", F.explode(deeper).alias("p")).select("node", "root", "p.band", "p.key")
     member = signed.select("doc_id", "node").join(roots, "node", "left").select("doc_id", "node", F.coalesce("root", "node").alias("root"))
     ids = member.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
     return member.join(ids, "root").select("doc_id", "node", "class_id", "class_size")
