@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table, stage, text_col
+from .common import read_table, stage, text_col, unstage
 from .kernels import SLICE, flat, mix, powers, salt, text_slices
 
 LENGTH, GRAM, PLACE = 200, 64, 31
@@ -197,14 +197,17 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_col().alias("text"))
     base = base.select(F.coalesce("doc_id", F.lit(-1)).alias("doc"), F.xxhash64("text").alias("th"), "doc_id", "text")
     table = stage(parse(base), "phrases")
-    words = table.groupBy("ka", "ke").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "th", "j")).alias("rep"))
-    words = stage(words, "dictionary")
-    many = words.groupBy("ka").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("ka")
-    wanted = words.join(many, "ka").groupBy("rep.doc", "rep.th").agg(F.collect_list(F.struct(F.col("rep.j").alias("j"), F.least("n", F.lit(2)).cast("int").alias("w"))).alias("js"))
+    triggers = table.groupBy("ka").agg(F.count(F.lit(1)).alias("n"), F.min("ke").alias("lo"), F.max("ke").alias("hi")).filter("n > 1").select("ka", (F.col("lo") != F.col("hi")).alias("mixed"))
+    common = stage(table.join(triggers, "ka"), "common")  # what is left of the parse where triggers occur twice
+    unstage(table)
+    words = stage(common.groupBy("ka", "ke", "mixed").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "th", "j")).alias("rep")), "dictionary")
+    wanted = words.filter("mixed").groupBy("rep.doc", "rep.th").agg(F.collect_list(F.struct(F.col("rep.j").alias("j"), F.least("n", F.lit(2)).cast("int").alias("w"))).alias("js"))
     split = stage(windows(base, wanted), "windows")
     twice = split.groupBy("ka", "wh").agg(F.sum("w").alias("n")).filter("n > 1").select("ka", "wh")
-    loose = split.filter("w = 1").join(twice, ["ka", "wh"]).groupBy("doc", "th").agg(F.collect_list("at").alias("ats"))
-    whole = table.join(words.filter("n > 1").select("ka", "ke"), ["ka", "ke"]).groupBy("doc", "th").agg(F.collect_list("j").alias("js"))
+    loose = stage(split.filter("w = 1").join(twice, ["ka", "wh"]).groupBy("doc", "th").agg(F.collect_list("at").alias("ats")), "loose")
+    unstage(split)
+    whole = stage(common.join(words.filter("n > 1").select("ka", "ke"), ["ka", "ke"]).groupBy("doc", "th").agg(F.collect_list("j").alias("js")), "whole")
+    unstage(common)
     return strip(base, whole, loose)
 
 
