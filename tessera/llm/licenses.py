@@ -39,19 +39,19 @@ SENTENCES: list[tuple[str, str]] = [
     ("GPL-name-{v}", r"(?:this work is |this program is |this software is )?(?:licensed|released|distributed) under (?:the )?(?:terms of the )?gnu general public licen[sc]e,? (?:version |v){v}"),
     ("LGPL-name-{v}", r"(?:this work is |this program is |this library is )?(?:licensed|released|distributed) under (?:the )?(?:terms of the )?gnu (?:lesser|library) general public licen[sc]e,? (?:version |v){v}"),
     ("AGPL-name-{v}", r"(?:this work is |this program is )?(?:licensed|released|distributed) under (?:the )?(?:terms of the )?gnu affero general public licen[sc]e,? (?:version |v){v}"),
-    ("GPL-free-{v}", r"this program is free software you can redistribute it and or modify it under the terms of the gnu general public licen[sc]e.*?version {v}"),
-    ("LGPL-free-{v}", r"this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public licen[sc]e.*?version {v}"),
+    ("GPL-free-{v}", r"this program is free software you can redistribute it and or modify it under the terms of the gnu general public licen[sc]e.{0,120}?version {v}"),
+    ("LGPL-free-{v}", r"this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public licen[sc]e.{0,120}?version {v}"),
     ("GPL-warranty", r"this (?:program|library) is distributed in the hope that it will be useful"),
     ("GPL-copy", r"you should have received a copy of the gnu (?:lesser |affero )?general public licen[sc]e"),
     ("BSD-redistribution", r"redistribution and use in source and binary forms with or without modification are permitted"),
     ("BSD-source", r"redistributions of source code must retain the above copyright notice"),
     ("BSD-binary", r"redistributions in binary form must reproduce the above copyright notice"),
-    ("BSD-endorse", r"neither the name of .*? may be used to endorse or promote products"),
-    ("BSD-as-is", r"this software is provided by the .*? as is and any express or implied warranties"),
+    ("BSD-endorse", r"neither the name of .{0,200}? may be used to endorse or promote products"),
+    ("BSD-as-is", r"this software is provided by the .{0,200}? as is and any express or implied warranties"),
     ("MPL-name-{v}", r"this source code form is subject to the terms of the mozilla public licen[sc]e v\.? ?{v}"),
     ("MPL-copy", r"if a copy of the mpl was not distributed with this file"),
     ("CC-name-{k}-{v}", r"(?:this work is )?licensed under (?:a |the )?(?:cc|creative commons) (?P<k>by(?: (?:nc|sa|nd))*) (?P<v>\d(?:\.\d)?)"),
-    ("CC0", r"(?:cc0 1\.0 universal|.*?dedicated to the public domain)"),
+    ("CC0", r"(?:cc0 1\.0 universal|dedicated to the public domain)"),
     ("Unlicense", r"this is free and unencumbered software released into the public domain"),
     ("SPDX-{k}", r"spdx licen[sc]e identifier (?P<k>[a-z0-9.+ ]+)$"),
 ]
@@ -70,10 +70,11 @@ RULES: list[tuple[str, str]] = [
     ("CC-{v}", "CC-name-{v}"), ("CC0-1.0", "CC0"), ("Unlicense", "Unlicense"), ("{v}", "SPDX-{v}"),
 ]
 
-HINT = re.compile(r"licen[sc]e|permission|redistribut|provided|public domain|cc0|warrant|copyright|spdx|mpl", re.I)
+#: A text with a known sentence has one of these.
+HINTS = ("license", "licence", "permission", "redistribut", "provided", "public domain", "cc0", "mpl", "no event")
 COMMENT = re.compile(r"^[ \t]*(?://+|/?\*+/?|#+|--+|;+|%+|<!--|REM\b)?[ \t]*", re.M)
 KNOWN = [(name, re.compile(text.replace("{v}", r"(?P<v>\d+(?:\.\d+)*)"))) for name, text in SENTENCES]
-ANY = re.compile("|".join(f"(?:{re.sub(r'[(][?]P<.>', '(?:', p.pattern)})" for _, p in KNOWN))
+ANY = re.compile(r"(?<![^ ])(?:" + "|".join(f"(?:{re.sub(r'[(][?]P<.>', '(?:', p.pattern)})" for _, p in KNOWN) + ")")
 
 
 def normalised(sentence: str) -> str:
@@ -92,15 +93,13 @@ def sentences(text: str) -> list[str]:
 
 def identifiers(text: str | None) -> list[str]:
     """Identifiers of the known sentences of a text, in order."""
-    if not text or not HINT.search(text):
+    low = (text or "").lower()
+    if not any(h in low for h in HINTS):
         return []
     out = []
     for s in sentences(text):
         at = 0
         while m := ANY.search(s, at):
-            if m.start() and s[m.start() - 1] != " ":
-                at = m.start() + 1
-                continue
             for name, pattern in KNOWN:
                 if hit := pattern.match(s, m.start()):
                     values = {k: v.strip().replace(" ", "-") for k, v in hit.groupdict().items()}
