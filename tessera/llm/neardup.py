@@ -5,10 +5,10 @@
    which lies between 1 and 1 + SPREAD times the count, so that edits of a text that has very many copies don't outweigh it.
 2. Each text gets BANDS * ROWS weighted samples; texts that agree in all samples of a band meet.
 3. Texts that meet are compared by exact weighted Jaccard similarity (0.8 or more links them).
-   A band's bucket of up to SMALL texts compares all. In a larger one all are compared with one
-   leader; unless links have by then made one class of all, its texts meet again in buckets of two bands, then
-   of three, and so on, and only texts of different classes are compared there. So the pairs grow with the
-   rows, not with the square of a group.
+   Only texts of different classes are compared. A band's bucket with up to SMALL texts outside its largest
+   class compares each of those with all others. In another one they are compared with one leader of the largest
+   class; if more than SMALL are outside it even then, the texts meet again in buckets of two bands, then of three,
+   and so on. So the pairs grow with the rows, not with the square of a group.
 4. Connected components of the links are the classes; a class's id is its smallest doc_id.
 
 Equal texts are one node from the start, whatever their number. Defined results: a null text is
@@ -149,33 +149,38 @@ def verified(pairs: DataFrame, texts: DataFrame, idf: np.ndarray) -> DataFrame:
     return two.mapInArrow(compare, "a binary, b binary, score double")
 
 
+def buckets(posts: DataFrame) -> DataFrame:
+    """The keys where classes meet: how many texts are outside the largest class, that class and its leader."""
+    by = posts.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("lead"))
+    all_ = by.groupBy("key").agg(F.sum("n").alias("n"), F.max(F.struct("n", "root", "lead")).alias("t")).filter("n > t.n")
+    return all_.select("key", (F.col("n") - F.col("t.n")).alias("others"), F.col("t.root").alias("top"), F.col("t.lead").alias("lead"))
+
+
 def classes(docs: DataFrame, threshold: float = SIMILARITY, small: int = SMALL) -> DataFrame:
     """One row per document: doc_id, node, class_id, class_size."""
     idf = weights(docs)
     signed = stage(signatures(docs, idf), "signatures")
     nodes = signed.groupBy("node").agg(F.first("bands").alias("bands"))
     posts = nodes.select("node", F.col("node").alias("root"), F.posexplode("bands").alias("band", "key"))
-    texts, links, roots = None, None, None
+    texts, roots = None, None
     while True:
-        met = posts.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("node", "root")).alias("a"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").drop("lo", "hi")
-        posts = stage(posts.join(met, "key"), "posts")
+        posts = stage(posts.join(buckets(posts), "key"), "posts")
         if texts is None:
             involved = posts.select("node").distinct()
             every = docs.select(text_col().alias("text")).withColumn("node", F.unhex(F.md5("text")))
             texts = stage(every.groupBy("node").agg(F.first("text").alias("text")).join(involved, "node"), "texts")
-        few, many = posts.filter(F.col("n") <= small), posts.filter((F.col("n") > small) & (F.col("node") != F.col("a.node")))
-        close = few.alias("x").join(few.alias("y"), "key").filter("x.node < y.node AND x.root <> y.root").select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-        pairs = close.unionByName(many.filter("root <> a.root").select(F.col("a.node").alias("a"), F.col("node").alias("b"))).distinct()
-        found = stage(verified(pairs, texts, idf).filter(F.col("score") >= threshold), "links")
-        links = found if links is None else links.unionByName(found)
-        roots = components(links.select("a", "b"))
+        few, many = posts.filter(F.col("others") <= small), posts.filter(F.col("others") > small)
+        close = few.filter("root <> top").alias("x").join(few.alias("y"), "key").filter("x.root <> y.root").select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
+        pairs = close.unionByName(many.filter("root <> top").select(F.least("lead", "node").alias("a"), F.greatest("lead", "node").alias("b"))).distinct()
+        found = verified(pairs, texts, idf).filter(F.col("score") >= threshold).select("a", "b")
+        roots = components(found if roots is None else found.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
         rest = many.select("key", "band", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        mixed = rest.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key")
-        rest = stage(rest.join(mixed, "key"), "rest")
+        rest = stage(rest.join(buckets(rest).select("key", "others"), "key"), "rest")
         if not rest.take(1):
             break
         deeper = F.filter(F.transform("bands", lambda k, i: F.when(i > F.col("band"), F.struct(i.alias("band"), F.xxhash64("key", k).alias("key")))), lambda x: x.isNotNull())
-        posts = rest.select("node", "root", "band", "key").join(nodes, "node").select("node", "root", F.explode(deeper).alias("p")).select("node", "root", "p.band", "p.key")
+        further = rest.filter(F.col("others") > small).select("node", "root", "band", "key").join(nodes, "node").select("node", "root", F.explode(deeper).alias("p"))
+        posts = further.select("node", "root", "p.band", "p.key").unionByName(rest.filter(F.col("others") <= small).select("node", "root", "band", "key"))
     member = signed.select("doc_id", "node").join(roots, "node", "left").select("doc_id", "node", F.coalesce("root", "node").alias("root"))
     ids = member.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
     return member.join(ids, "root").select("doc_id", "node", "class_id", "class_size")
