@@ -382,7 +382,10 @@ def own_labels(page: list) -> list[int] | None:
 
 def fit(pages: DataFrame, sample: int = SAMPLE, made: int = 300) -> dict[str, np.ndarray]:
     """Trains the labeller; at most `sample` rows reach the driver."""
-    rows = pages.filter(F.col("html").isNotNull() & (F.length("html") < 200_000)).orderBy(F.xxhash64("page_id"), "page_id").select("html").limit(sample).collect()
+    usable, order = pages.filter(F.col("html").isNotNull() & (F.length("html") < 200_000)), [F.xxhash64("page_id"), F.col("page_id")]
+    ids = [x[0] for x in usable.orderBy(*order).select("page_id").limit(sample).collect()]  # ids alone first, so that tasks send no pages which aren't taken
+    named = F.col("page_id").isin([x for x in ids if x is not None])
+    rows = usable.filter(named | F.col("page_id").isNull() if None in ids else named).orderBy(*order).select("html").limit(sample).collect()
     r = random.Random(11)
     xs, ys = map(list, zip(*(made_page(r) for _ in range(made)), strict=True))
     for row in rows:
