@@ -7,8 +7,11 @@
 3. Texts that meet are compared by exact weighted Jaccard similarity (0.8 or more links them).
    Only texts of different classes are compared. A band's bucket with up to SMALL texts outside its largest
    class compares each of those with all others. In another one they are compared with one leader of the largest
-   class; if more than SMALL are outside it even then, the texts meet again in buckets of two bands, then of three,
-   and so on. So the pairs grow with the rows, not with the square of a group.
+   class; if more than SMALL are outside it even then, the bucket's texts are joined exactly: each is posted under
+   the rarest shingles that make up 1 - SIMILARITY of its weight, and two texts that match share one of them.
+   Postings of one shingle are compared like a bucket, in turns: large ones with LEADERS texts and a leader of the
+   largest class, then with all others once at most SMALL, 4 * SMALL, 16 * SMALL and so on are outside it. No pair
+   is left out; texts of a group that match no leader and share rare shingles cost the square of their number.
 4. Connected components of the links are the classes; a class's id is its smallest doc_id.
 
 Equal texts are one node from the start, whatever their number. Defined results: a null text is
@@ -31,7 +34,7 @@ from .common import read_table, stage, text_col
 from .graph import components
 from .kernels import mix, salt, shingles, text_slices
 
-WIDTH, SIMILARITY, BANDS, ROWS, BUCKETS, SMALL, SPREAD = 5, 0.8, 12, 3, 18, 16, 0.25
+WIDTH, SIMILARITY, BANDS, ROWS, BUCKETS, SMALL, LEADERS, SPREAD = 5, 0.8, 12, 3, 18, 16, 4, 0.25
 
 
 def bucket(h: np.ndarray) -> np.ndarray:
@@ -149,11 +152,53 @@ def verified(pairs: DataFrame, texts: DataFrame, idf: np.ndarray) -> DataFrame:
     return two.mapInArrow(compare, "a binary, b binary, score double")
 
 
+def prefixes(texts: DataFrame, idf: np.ndarray, threshold: float) -> DataFrame:
+    """node, key, size, before: postings of which two texts share one if their similarity reaches the threshold.
+
+    Shingles are ordered by how many of these texts have them, the rarest first, and by hash; `before` is the weight of
+    those ahead, `size` that of all. The first shared one has the whole overlap behind it, which is threshold * size at least.
+    """
+    order = weights(texts)  # any total order is right; rarity keeps the postings short
+    sent = texts.sparkSession.sparkContext.broadcast((idf, order))
+
+    def post(batches):
+        w_all, rare = sent.value
+        for b in batches:
+            for a, e in text_slices(b.column(1)):
+                h, times, of = shingles(b.column(1).slice(a, e - a), WIDTH)
+                at = np.lexsort((h, -rare[bucket(h)], of))
+                h, of, w = h[at], of[at], times[at] * w_all[bucket(h[at])].astype(np.float64)
+                size = np.bincount(of, w, e - a)[of]
+                ahead = np.cumsum(w) - w
+                starts = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]])) if len(h) else np.zeros(0, np.int64)
+                ahead -= np.repeat(ahead[starts], np.diff(np.append(starts, len(h))))
+                keep = np.flatnonzero(ahead <= (1 - threshold + 1e-6) * size)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(a, e - a).take(pa.array(of[keep])), pa.array(h[keep].view(np.int64)), pa.array(size[keep]), pa.array(ahead[keep])], names=["node", "key", "size", "before"])
+
+    return texts.select("node", "text").mapInArrow(post, "node binary, key long, size double, before double")
+
+
 def buckets(posts: DataFrame) -> DataFrame:
-    """The keys where classes meet: how many texts are outside the largest class, that class and its leader."""
-    by = posts.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("lead"))
-    all_ = by.groupBy("key").agg(F.sum("n").alias("n"), F.max(F.struct("n", "root", "lead")).alias("t")).filter("n > t.n")
-    return all_.select("key", (F.col("n") - F.col("t.n")).alias("others"), F.col("t.root").alias("top"), F.col("t.lead").alias("lead"))
+    """The keys where classes meet: how many texts are outside the largest class, and that class."""
+    by = posts.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
+    all_ = by.groupBy("key").agg(F.sum("n").alias("n"), F.max(F.struct("n", "root")).alias("t")).filter("n > t.n")
+    return all_.select("key", (F.col("n") - F.col("t.n")).alias("others"), F.col("t.root").alias("top"))
+
+
+def leaders(many: DataFrame, turn: int) -> DataFrame:
+    """key, root, node, size, before of the texts that a large bucket's others are compared with: one of its largest class and, after the first turn, LEADERS more."""
+    dealt = F.xxhash64("node", F.lit(turn))
+    part = F.when(F.col("root") == F.col("top"), -1).otherwise(F.pmod(dealt, F.lit(LEADERS)))
+    found = many.withColumn("part", part).groupBy("key", "part").agg(F.min(F.struct(F.xxhash64(dealt).alias("o"), "node", "root", "size", "before")).alias("l"))
+    return (found if turn else found.filter("part < 0")).select("key", "l.node", "l.root", "l.size", "l.before")
+
+
+def meet(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
+    """a, b: pairs of different classes under one key whose weights allow the threshold."""
+    x, y = left.alias("x"), right.alias("y")
+    behind = F.least(F.col("x.size") - F.col("x.before"), F.col("y.size") - F.col("y.before"))
+    able = behind >= (threshold / (1 + threshold) - 1e-6) * (F.col("x.size") + F.col("y.size"))
+    return x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & able).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
 
 
 def classes(docs: DataFrame, threshold: float = SIMILARITY, small: int = SMALL) -> DataFrame:
@@ -161,26 +206,29 @@ def classes(docs: DataFrame, threshold: float = SIMILARITY, small: int = SMALL)
     idf = weights(docs)
     signed = stage(signatures(docs, idf), "signatures")
     nodes = signed.groupBy("node").agg(F.first("bands").alias("bands"))
-    posts = nodes.select("node", F.col("node").alias("root"), F.posexplode("bands").alias("band", "key"))
-    texts, roots = None, None
+    posts = nodes.select("node", F.col("node").alias("root"), F.explode("bands").alias("key"), F.lit(1.0).alias("size"), F.lit(0.0).alias("before"))
+    texts, roots, turn = None, None, 0
     while True:
         posts = stage(posts.join(buckets(posts), "key"), "posts")
         if texts is None:
             involved = posts.select("node").distinct()
             every = docs.select(text_col().alias("text")).withColumn("node", F.unhex(F.md5("text")))
             texts = stage(every.groupBy("node").agg(F.first("text").alias("text")).join(involved, "node"), "texts")
-        few, many = posts.filter(F.col("others") <= small), posts.filter(F.col("others") > small)
-        close = few.filter("root <> top").alias("x").join(few.alias("y"), "key").filter("x.root <> y.root").select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
-        pairs = close.unionByName(many.filter("root <> top").select(F.least("lead", "node").alias("a"), F.greatest("lead", "node").alias("b"))).distinct()
+        most = small * 4 ** max(0, turn - 1)
+        few, many = posts.filter(F.col("others") <= most), posts.filter(F.col("others") > most)
+        pairs = meet(few.filter("root <> top"), few, threshold).unionByName(meet(leaders(many, turn), many.filter("root <> top"), threshold)).distinct()
         found = verified(pairs, texts, idf).filter(F.col("score") >= threshold).select("a", "b")
         roots = components(found if roots is None else found.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
-        rest = many.select("key", "band", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        rest = many.select("key", "node", "size", "before").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         rest = stage(rest.join(buckets(rest).select("key", "others"), "key"), "rest")
         if not rest.take(1):
             break
-        deeper = F.filter(F.transform("bands", lambda k, i: F.when(i > F.col("band"), F.struct(i.alias("band"), F.xxhash64("key", k).alias("key")))), lambda x: x.isNotNull())
-        further = rest.filter(F.col("others") > small).select("node", "root", "band", "key").join(nodes, "node").select("node", "root", F.explode(deeper).alias("p"))
-        posts = further.select("node", "root", "p.band", "p.key").unionByName(rest.filter(F.col("others") <= small).select("node", "root", "band", "key"))
+        posts = rest.drop("others")
+        if turn == 0:
+            large = rest.filter(F.col("others") > small).select("node").distinct()
+            further = prefixes(stage(texts.join(large, "node"), "large"), idf, threshold).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+            posts = rest.filter(F.col("others") <= small).drop("others").unionByName(further)
+        turn += 1
     member = signed.select("doc_id", "node").join(roots, "node", "left").select("doc_id", "node", F.coalesce("root", "node").alias("root"))
     ids = member.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
     return member.join(ids, "root").select("doc_id", "node", "class_id", "class_size")

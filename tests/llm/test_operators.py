@@ -384,6 +384,22 @@ def test_classes_equal_brute_force(spark):
     assert kept.columns == docs.columns and kept.count() == len(groups)
 
 
+def test_texts_of_a_large_bucket_are_all_compared(spark, monkeypatch):
+    r = random.Random(21)
+    big = [f"w{i}" for i in range(400)]
+    shared = prose(r, 60, big)
+    rows = []
+    for i in range(60):
+        own = prose(r, 60, big).split()
+        for k in range(1 + i % 3):
+            rows.append((len(rows), shared + " " + " ".join([*own[: 59 - k], f"n{k}"])))
+    docs = make(spark, rows)
+    sign = neardup.signatures
+    monkeypatch.setattr(neardup, "signatures", lambda *a: sign(*a).withColumn("bands", F.array(F.lit(1).cast("long"))))  # all texts meet in one bucket, once
+    got = {x["doc_id"]: x["class_id"] for x in neardup.classes(docs, small=2).collect()}
+    assert got == {i: min(j for j, t in rows if t.split()[60:110] == rows[i][1].split()[60:110]) for i, _ in rows}
+
+
 def test_sampling_estimates_weighted_similarity():
     r = np.random.default_rng(3)
     h = np.sort(r.integers(0, 1 << 48, 300).astype(np.uint64))
