@@ -16,7 +16,8 @@
 
 Equal texts are one node from the start, whatever their number. Defined results: a null text is
 an empty text; texts without a word equal only the same text; a null doc_id takes part and is the
-class's id only if no other row has one; repeated rows share a class; an empty table gives an
+class's id only if no other row has one; a class is told from others by its root, as classes with null
+or reused doc_ids may have the same id; repeated rows share a class; an empty table gives an
 empty table; only doc_id and text are read.
 """
 
@@ -202,7 +203,7 @@ def meet(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
 
 
 def classes(docs: DataFrame, threshold: float = SIMILARITY, small: int = SMALL) -> DataFrame:
-    """One row per document: doc_id, node, class_id, class_size."""
+    """One row per document: doc_id, node, root (the class), class_id, class_size."""
     idf = weights(docs)
     signed = stage(signatures(docs, idf), "signatures")
     nodes = signed.groupBy("node").agg(F.first("bands").alias("bands"))
@@ -231,17 +232,18 @@ def classes(docs: DataFrame, threshold: float = SIMILARITY, small: int = SMALL)
         turn += 1
     member = signed.select("doc_id", "node").join(roots, "node", "left").select("doc_id", "node", F.coalesce("root", "node").alias("root"))
     ids = member.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
-    return member.join(ids, "root").select("doc_id", "node", "class_id", "class_size")
+    return member.join(ids, "root").select("doc_id", "node", "root", "class_id", "class_size")
 
 
 def keep_one(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
-    """The documents with one of each class left: the one with the smallest doc_id."""
+    """The documents with one of each class left: the one with the smallest doc_id, null if there is no other."""
     found = classes(docs, threshold)
-    chosen = found.filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("class_id").agg(F.min("node").alias("__node")).select(F.col("class_id").alias("__doc"), "__node")
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "node")).alias("f")
+    chosen = found.groupBy("root").agg(first).select(F.col("f.doc_id").alias("__doc"), F.col("f.node").alias("__node"))
     marked = docs.withColumn("__node", F.unhex(F.md5(text_col())))
     kept = marked.join(chosen, (marked["doc_id"].eqNullSafe(chosen["__doc"])) & (marked["__node"] == chosen["__node"]), "left_semi")
     return kept.dropDuplicates(["doc_id", "__node"]).select(*docs.columns)
 
 
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return classes(read_table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size")
+    return classes(read_table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size", F.lower(F.hex("root")).alias("class_root"))

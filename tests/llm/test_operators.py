@@ -384,6 +384,18 @@ def test_classes_equal_brute_force(spark):
     assert kept.columns == docs.columns and kept.count() == len(groups)
 
 
+def test_classes_with_null_or_reused_ids_keep_one_document_each(spark):
+    r = random.Random(22)
+    big = [f"w{i}" for i in range(400)]
+    t = [prose(r, 40, big) for _ in range(6)]
+    rows = [(None, t[0]), (None, t[1]), (None, t[1] + " tail"), (None, t[2]), (7, t[3]), (7, t[4]), (3, t[5]), (None, t[5])]
+    docs = make(spark, rows)
+    found = neardup.classes(docs).collect()
+    assert len({x["root"] for x in found}) == 6 and collections.Counter(x["class_size"] for x in found) == {1: 4, 2: 4}
+    kept = collections.Counter((x["doc_id"], x["text"].removesuffix(" tail")) for x in neardup.keep_one(docs).collect())
+    assert kept == {(None, t[0]): 1, (None, t[1]): 1, (None, t[2]): 1, (7, t[3]): 1, (7, t[4]): 1, (3, t[5]): 1}
+
+
 def test_texts_of_a_large_bucket_are_all_compared(spark, monkeypatch):
     r = random.Random(21)
     big = [f"w{i}" for i in range(400)]
