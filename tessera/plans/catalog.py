@@ -259,6 +259,30 @@ def rrf_hybrid(spark, sf_dir):
     return retrieve.hybrid(p, v, sparse, dense).select("id", "score", "rank")
 
 
+def searched(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Postings and vectors of all rows, and those of the rows whose id is divisible by 50, as queries."""
+    p = postings(table(spark, sf_dir, "documents"))
+    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
+    return p, v, p.filter("id % 50 = 0").select(F.col("id").alias("query"), "idx", "w"), v.filter("id % 50 = 0").select(F.col("id").alias("query"), F.col("vec").alias("qvec"))
+
+
+@query()
+def sparse_search(spark, sf_dir):
+    p, _, sparse, _ = searched(spark, sf_dir)
+    return retrieve.sparse_topk(p, sparse, 20).select("query", "id", "score", "rank")
+
+
+@query()
+def dense_search(spark, sf_dir):
+    _, v, _, dense = searched(spark, sf_dir)
+    return retrieve.dense_topk(v, dense, 20).select("query", "id", "score", "rank")
+
+
+@query()
+def hybrid_search(spark, sf_dir):
+    return retrieve.hybrid(*searched(spark, sf_dir)).select("query", "id", "score", "rank")
+
+
 @query("""SELECT doc_id, source || '/' || doc_id || chr(10) || text || chr(10) || '' AS dense_text FROM documents""")
 def dense_text(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", F.concat_ws("/", "source", "doc_id").alias("path"), "text", F.lit("").alias("context"))

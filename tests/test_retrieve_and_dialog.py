@@ -1,6 +1,12 @@
+import hashlib
+import re
+from collections import Counter
+
+import numpy as np
 from pyspark.sql import functions as F
 
 from tessera.operators import chunk, dialog, embed, retrieve
+from tessera.plans import catalog
 from tessera.sources import html, readers
 from tessera.config import WikiFilter, build, Config
 
@@ -106,3 +112,34 @@ def test_unknown_settings_are_errors():
     assert build(Config, {"index": {"chunker": "llm"}}).index.safe_limit == 16128
     with pytest.raises(ValueError):
         build(Config, {"sources": {}})
+
+
+def test_searches_equal_brute_force(spark):
+    sf = "/root/testdata/sf0.001"
+    vec = {r["vec_id"]: np.array(r["embedding"], float) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()}
+    counts = {}
+    for r in spark.read.parquet(f"{sf}/documents.parquet").collect():
+        for tok, n in Counter(re.split("[ \n]+", r["text"])).items():
+            h = hashlib.md5(tok.encode()).hexdigest()
+            at = counts.setdefault(r["doc_id"], {})
+            idx = sum(int(h[k : k + 8], 16) for k in (0, 8, 16, 24)) % 4294967295
+            at[idx] = max(n, at.get(idx, 0))
+
+    def best(scores, k):
+        return {i: (s, n) for n, (i, s) in enumerate(sorted(scores.items(), key=lambda x: (-x[1], x[0]))[:k], 1)}
+
+    def cosine(a, b):
+        return round(float(a @ b) / (float(np.linalg.norm(a) * np.linalg.norm(b)) or 1.0), 6)
+
+    dense = {q: best({i: cosine(a, vec[q]) for i, a in vec.items()}, 20) for q in vec if q % 50 == 0}
+    sparse = {q: best({i: float(sum(n * c[x] for x, n in counts[q].items() if x in c)) for i, c in counts.items() if c.keys() & counts[q].keys()}, 20) for q in counts if q % 50 == 0}
+    both = {q: best({i: round(sum(1 / (59 + part[q][i][1]) for part in (sparse, dense) if i in part.get(q, {})), 6) for i in {*sparse.get(q, {}), *dense.get(q, {})}}, 10) for q in {*sparse, *dense}}
+    for name, want in (("sparse_search", sparse), ("dense_search", dense), ("hybrid_search", both)):
+        got = {}
+        for r in catalog.QUERIES[name](spark, sf).collect():
+            got.setdefault(r["query"], {})[r["id"]] = (r["score"], r["rank"])
+        assert len(want) > 1 and got.keys() == want.keys()
+        for q in want:
+            by_rank = [sorted((n, s) for s, n in x[q].values()) for x in (got, want)]
+            assert len(by_rank[0]) == len(by_rank[1]) and all(a[0] == b[0] and abs(a[1] - b[1]) < 2e-6 for a, b in zip(*by_rank, strict=True)), (name, q)
+            assert name == "dense_search" or got[q].keys() == want[q].keys()
