@@ -3,8 +3,8 @@
 1. Documents are tokenised where they lie; only piece lengths and checksums leave the task.
 2. Lengths are at most `limit`, so the whole corpus is described by a histogram of at most
    `limit` counts, whatever its size. Best-fit decreasing runs on it in groups of equal bins.
-3. Local search works on the emptiest bins: it moves a document, exchanges one for one or two for
-   one between underfull bins whenever that raises the sum of squared fills, until bins empty.
+3. Local search works on all underfull bins, in groups of equal ones: it moves a document, exchanges one for one
+   or two for one whenever that raises the sum of squared fills, until no such step is left.
 4. Pieces take the places of their length in the order of their rank, which is counted within
    hash buckets and added up over the buckets, so no task holds all pieces of one length.
 
@@ -130,82 +130,132 @@ class Bins:
             n -= full * each
 
 
-def improve(bins: list[list[int]], limit: int, least: int, rounds: int = 20_000) -> list[list[int]]:
-    """Swap-based local search over single bins: each step raises the sum of squared fills or empties a bin."""
-    bins = [sorted(b, reverse=True) for b in bins]
-    fill = [sum(b) for b in bins]
-    stuck: set[int] = set()
-    while rounds > 0 and len([b for b in bins if b]) > least:
-        live = [i for i in range(len(bins)) if bins[i] and i not in stuck]
-        if not live:
-            break
-        d = min(live, key=lambda i: fill[i])
-        others = sorted((i for i in range(len(bins)) if i != d and bins[i] and fill[i] < limit), key=lambda i: -fill[i])
+class Underfull:
+    """Groups of equal bins with room: found by what leaves a bin (nothing, one piece or two, as a sum) and by room."""
+
+    def __init__(self, limit: int) -> None:
+        self.limit = limit
+        self.count: dict[tuple, int] = {}
+        self.sums: dict[tuple, np.ndarray] = {}
+        self.by_room: dict[int, dict[tuple, None]] = defaultdict(dict)
+        self.have = np.zeros((limit + 1, limit + 1), np.int32)  # sum, room: how many groups
+        self.most = np.full(limit + 1, -1, np.int64)  # sum: the largest room of a group with it
+
+    def room(self, items: tuple) -> int:
+        return self.limit - sum(a * k for a, k in items)
+
+    def add(self, items: tuple, n: int) -> None:
+        if items in self.count:
+            self.count[items] += n
+            return
+        one = np.array([a for a, _ in items], np.int64)
+        twice = np.array([a for a, k in items if k > 1], np.int64)
+        i, j = np.triu_indices(len(one), 1)
+        sums, room = np.unique(np.concatenate([[0], one, one[i] + one[j], 2 * twice]).astype(np.int64)), self.room(items)
+        self.count[items], self.sums[items] = n, sums
+        self.by_room[room][items] = None
+        self.have[sums, room] += 1
+        self.most[sums] = np.maximum(self.most[sums], room)
+
+    def take(self, items: tuple, n: int) -> None:
+        self.count[items] -= n
+        if self.count[items]:
+            return
+        sums, room = self.sums.pop(items), self.room(items)
+        del self.count[items], self.by_room[room][items]
+        self.have[sums, room] -= 1
+        for s in sums[(self.have[sums, room] == 0) & (self.most[sums] == room)].tolist():
+            left = np.flatnonzero(self.have[s, : room + 1])
+            self.most[s] = left[-1] if len(left) else -1
+
+    def target(self, items: tuple) -> tuple[int, tuple, int] | None:
+        """The piece that leaves a bin of `items`, the group that takes it and the sum that comes back, if that raises the sum of squared fills: the largest gain of the largest piece that has one."""
+        room = self.room(items)
+        for a, _ in items:
+            for s in np.flatnonzero(self.most[:a] >= a - np.arange(a)).tolist():
+                gain = a - s
+                for r in (np.flatnonzero(self.have[s, gain : min(self.limit, room + gain - 1) + 1]) + gain).tolist():
+                    for t in self.by_room[r]:
+                        if (t != items or self.count[t] > 1) and (at := np.searchsorted(self.sums[t], s)) < len(self.sums[t]) and self.sums[t][at] == s:
+                            return a, t, s
+        return None
+
+
+def parts(items: tuple, s: int) -> list[int]:
+    """No piece, one or two of a bin with that sum."""
+    have = dict(items)
+    if not s or s in have:
+        return [s] if s else []
+    return next([a, s - a] for a, k in items if s - a in have and (s - a != a or k > 1))
+
+
+def exchanged(items: tuple, out: list[int], new: list[int]) -> tuple:
+    have = dict(items)
+    for x in out:
+        have[x] -= 1
+    for x in new:
+        have[x] = have.get(x, 0) + 1
+    return tuple(sorted(((a, k) for a, k in have.items() if k), reverse=True))
+
+
+def exchange(groups: dict[tuple, int], limit: int, least: int) -> dict[tuple, int]:
+    """Swap-based local search over groups of equal bins (((length, how many of it), ...): how many bins).
+
+    Each step does the same to as many bins as two groups allow, and raises the sum of squared fills or empties bins. It ends
+    when no move of a piece and no exchange of one for one or two improves any bin, or with `least` bins, which no layout undercuts.
+    """
+    open_, full, bins = Underfull(limit), defaultdict(int), sum(groups.values())
+    for items, n in groups.items():
+        if open_.room(items):
+            open_.add(items, n)
+        else:
+            full[items] += n
+    moved = True
+    while moved and bins > least:
         moved = False
-        for a in list(bins[d]):
-            for t in others:
-                rounds -= 1
-                room = limit - fill[t]
-                out = None
-                if a <= room:  # move
-                    out = []
-                elif fill[t] >= fill[d] - 2 * a:
-                    b = max((x for x in bins[t] if 0 < a - x <= room), default=None)  # one for one
-                    if b is not None and fill[t] + (a - b) > fill[d]:
-                        out = [b]
+        for first in sorted(open_.count, key=open_.room, reverse=True):
+            d = first
+            while bins > least and d in open_.count and (found := open_.target(d)):
+                moved = True
+                a, t, s = found
+                back = parts(t, s)
+                n = open_.count[d] // 2 if t == d else min(open_.count[d], open_.count[t])
+                open_.take(d, n)
+                open_.take(t, n)
+                less, more = exchanged(d, [a], back), exchanged(t, back, [a])
+                for items in (less, more):
+                    if not items:
+                        bins -= n
+                    elif open_.room(items):
+                        open_.add(items, n)
                     else:
-                        small = bins[t][::-1][:40]
-                        pair = next(((x, y) for i, x in enumerate(small) for y in small[i + 1 :] if 0 < a - x - y <= room), None)  # two for one
-                        if pair and fill[t] + a - sum(pair) > fill[d]:
-                            out = list(pair)
-                if out is not None:
-                    bins[d].remove(a)
-                    bins[t].append(a)
-                    for x in out:
-                        bins[t].remove(x)
-                        bins[d].append(x)
-                    gain = a - sum(out)
-                    fill[d] -= gain
-                    fill[t] += gain
-                    moved = True
-                    break
-            if moved:
-                break
-        if moved:
-            stuck.clear()
-        else:
-            stuck.add(d)
-    return [b for b in bins if b]
+                        full[items] += n
+                if d not in open_.count:
+                    d = less
+    for items, n in open_.count.items():
+        full[items] += n
+    return dict(full)
 
 
-def layout(histogram: dict[int, int], limit: int = LIMIT, loose: int = 400) -> list[tuple[int, list[tuple[int, int]]]]:
-    """Groups (how many bins, [(length, how many of it in each)]) for a histogram of lengths.
+def improve(bins: list[list[int]], limit: int, least: int) -> list[list[int]]:
+    """The local search for bins that are listed one by one."""
+    groups: dict[tuple, int] = defaultdict(int)
+    for b in bins:
+        groups[exchanged((), [], b)] += 1
+    return [[a for a, k in items for _ in range(k)] for items, n in exchange(groups, limit, least).items() for _ in range(n)]
 
-    loose: how many of the emptiest bins the local search takes apart at most.
-    """
+
+def layout(histogram: dict[int, int], limit: int = LIMIT) -> list[tuple[int, list[tuple[int, int]]]]:
+    """Groups (how many bins, [(length, how many of it in each)]) for a histogram of lengths."""
     bins = Bins(limit)
     for length in sorted(histogram, reverse=True):
         bins.put(length, histogram[length])
-    groups = [(c, items, room) for c, items, room in bins.groups if c]
+    groups: dict[tuple, int] = defaultdict(int)
+    for c, items, _ in bins.groups:
+        if c:
+            groups[tuple(items)] += c
     least = -(-sum(a * n for a, n in histogram.items()) // limit)
-    have = sum(c for c, _, _ in groups)
-    if have > least:
-        groups.sort(key=lambda g: g[2])
-        apart: list[list[int]] = []
-        while groups and groups[-1][2] and len(apart) < loose:
-            c, items, room = groups.pop()
-            n = min(c, loose - len(apart))
-            apart += [[a for a, k in items for _ in range(k)] for _ in range(n)]
-            if c > n:
-                groups.append((c - n, items, room))
-                break
-        rest = sum(c for c, _, _ in groups)
-        for b in improve(apart, limit, max(0, least - rest)):
-            items: dict[int, int] = defaultdict(int)
-            for a in b:
-                items[a] += 1
-            groups.append((1, sorted(items.items(), reverse=True), 0))
-    return [(c, items) for c, items, _ in groups]
+    return [(c, list(items)) for items, c in exchange(groups, limit, least).items()]
 
 
 def places(groups: list[tuple[int, list[tuple[int, int]]]]) -> dict[int, np.ndarray]:

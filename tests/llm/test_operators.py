@@ -252,6 +252,23 @@ def test_layout_and_search():
     assert sorted(x for b in better for x in b) == sorted(x for b in start for x in b) and all(sum(b) <= 100 for b in better) and len(better) == 4
 
 
+def test_no_step_improves_any_bin_of_a_layout():
+    r = random.Random(9)
+    sizes = collections.Counter(r.randint(26, 60) for _ in range(4000))
+    groups = packing.layout(sizes, 100)
+    used = collections.Counter()
+    for c, items in groups:
+        for a, k in items:
+            used[a] += c * k
+    assert used == sizes
+    open_ = [(c, 100 - sum(a * k for a, k in items), [a for a, k in items for _ in range(k)]) for c, items in groups]
+    open_ = [x for x in open_ if x[1]]
+    for d, (c, room, bin_) in enumerate(open_):
+        for t, (_, free, other) in enumerate(open_):
+            sums = {0, *other, *(x + y for i, x in enumerate(other) for y in other[i + 1 :])}
+            assert (t == d and c == 1) or not any(0 < a - x <= free < room + a - x for a in bin_ for x in sums)
+
+
 # --- op6 ---------------------------------------------------------------------------------------------
 
 def test_neighbours(spark):
