@@ -1,7 +1,7 @@
 """Licence scans by sentence rules.
 
-A text is unwrapped and cut into sentences; each normalised sentence that is a known licence sentence gets its
-identifier; the sequence of identifiers is then matched against ordered rules, longest first, and each
+A text is unwrapped and cut into paragraphs of normalised sentences; each place in a paragraph where a known licence sentence
+opens gets its identifier, whatever full stops or semicolons the opening has inside; the sequence of identifiers is then matched against ordered rules, longest first, and each
 match names a licence. Identifiers that no rule takes leave "unmatched" in the result.
 
 Defined results: a null or empty text, or one without known sentences, has no licences (an empty list); repeated sentences
@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 from .common import read_table, text_col
 
 #: Openings of licence sentences as the licences word them, normalised (lower case, letters, digits, dots and blanks).
-#: An opening stands for the sentence that starts with it; {v} stands for a version, which joins the identifier.
+#: An opening stands for the sentence that starts with it; {v} stands for a version, which joins the identifier. A blank may be
+#: the end of a sentence, as in "v. 2.0"; $ is one.
 SENTENCES: list[tuple[str, str]] = [
     ("MIT-name", r"(?:released|licensed|distributed|available|published) under (?:the )?(?:terms of the )?mit licen[sc]e"),
     ("MIT-title", r"(?:the )?mit licen[sc]e(?: mit)?$"),
@@ -39,21 +40,22 @@ SENTENCES: list[tuple[str, str]] = [
     ("GPL-name-{v}", r"(?:this work is |this program is |this software is )?(?:licensed|released|distributed) under (?:the )?(?:terms of the )?gnu general public licen[sc]e,? (?:version |v){v}"),
     ("LGPL-name-{v}", r"(?:this work is |this program is |this library is )?(?:licensed|released|distributed) under (?:the )?(?:terms of the )?gnu (?:lesser|library) general public licen[sc]e,? (?:version |v){v}"),
     ("AGPL-name-{v}", r"(?:this work is |this program is )?(?:licensed|released|distributed) under (?:the )?(?:terms of the )?gnu affero general public licen[sc]e,? (?:version |v){v}"),
-    ("GPL-free-{v}", r"this program is free software you can redistribute it and or modify it under the terms of the gnu general public licen[sc]e.{0,120}?version {v}"),
-    ("LGPL-free-{v}", r"this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public licen[sc]e.{0,120}?version {v}"),
+    ("GPL-free-{v}", r"this (?:program|library) is free software you can redistribute it and or modify it under the terms of the gnu general public licen[sc]e.*?version {v}"),
+    ("LGPL-free-{v}", r"this (?:program|library) is free software you can redistribute it and or modify it under the terms of the gnu (?:lesser|library) general public licen[sc]e.*?version {v}"),
+    ("AGPL-free-{v}", r"this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public licen[sc]e.*?version {v}"),
     ("GPL-warranty", r"this (?:program|library) is distributed in the hope that it will be useful"),
     ("GPL-copy", r"you should have received a copy of the gnu (?:lesser |affero )?general public licen[sc]e"),
     ("BSD-redistribution", r"redistribution and use in source and binary forms with or without modification are permitted"),
     ("BSD-source", r"redistributions of source code must retain the above copyright notice"),
     ("BSD-binary", r"redistributions in binary form must reproduce the above copyright notice"),
-    ("BSD-endorse", r"neither the name of .{0,200}? may be used to endorse or promote products"),
-    ("BSD-as-is", r"this software is provided by the .{0,200}? as is and any express or implied warranties"),
+    ("BSD-endorse", r"neither the name of .*? may be used to endorse or promote products"),
+    ("BSD-as-is", r"this software is provided by the .*? as is and any express or implied warranties"),
     ("MPL-name-{v}", r"this source code form is subject to the terms of the mozilla public licen[sc]e v\.? ?{v}"),
     ("MPL-copy", r"if a copy of the mpl was not distributed with this file"),
     ("CC-name-{k}-{v}", r"(?:this work is )?licensed under (?:a |the )?(?:cc|creative commons) (?P<k>by(?: (?:nc|sa|nd))*) (?P<v>\d(?:\.\d)?)"),
     ("CC0", r"(?:cc0 1\.0 universal|dedicated to the public domain)"),
     ("Unlicense", r"this is free and unencumbered software released into the public domain"),
-    ("SPDX-{k}", r"spdx licen[sc]e identifier (?P<k>[a-z0-9.+ ]+)$"),
+    ("SPDX-{k}", r"spdx licen[sc]e identifier (?P<k>[a-z0-9.+\x20]+)$"),
 ]
 
 #: Identifier sequences that make up a licence. A name ending in ? may be missing; {v} is the same throughout.
@@ -65,16 +67,18 @@ RULES: list[tuple[str, str]] = [
     ("Apache-{v}", "Apache-name-{v} Apache-use Apache-copy? Apache-basis? Apache-see?"),
     ("GPL-{v}", "GPL-free-{v} GPL-warranty? GPL-copy?"),
     ("LGPL-{v}", "LGPL-free-{v} GPL-warranty? GPL-copy?"),
+    ("AGPL-{v}", "AGPL-free-{v} GPL-warranty? GPL-copy?"),
     ("MPL-{v}", "MPL-name-{v} MPL-copy?"),
     ("MIT", "MIT-name"), ("MIT", "MIT-title"), ("Apache-{v}", "Apache-name-{v}"), ("GPL-{v}", "GPL-name-{v}"), ("LGPL-{v}", "LGPL-name-{v}"), ("AGPL-{v}", "AGPL-name-{v}"),
     ("CC-{v}", "CC-name-{v}"), ("CC0-1.0", "CC0"), ("Unlicense", "Unlicense"), ("{v}", "SPDX-{v}"),
 ]
 
 #: A text with a known sentence has one of these.
-HINTS = ("license", "licence", "permission", "redistribut", "provided", "public domain", "cc0", "mpl", "no event")
+HINTS = ("license", "licence", "permission", "redistribut", "provided", "domain", "cc0", "mpl", "event", "hope", "endorse")
 COMMENT = re.compile(r"^[ \t]*(?://+|/?\*+/?|#+|--+|;+|%+|<!--|REM\b)?[ \t]*", re.M)
-KNOWN = [(name, re.compile(text.replace("{v}", r"(?P<v>\d+(?:\.\d+)*)"))) for name, text in SENTENCES]
-ANY = re.compile(r"(?<![^ ])(?:" + "|".join(f"(?:{re.sub(r'[(][?]P<.>', '(?:', p.pattern)})" for _, p in KNOWN) + ")")
+SPDX = re.compile(r"(spdx-licen[sc]e-identifier:[^\n]*)", re.I)
+KNOWN = [(name, re.compile(text.replace(" ", "[ \n]").replace("{v}", r"(?P<v>\d+(?:\.\d+)*)"), re.M | re.S)) for name, text in SENTENCES]
+ANY = re.compile(r"(?<![^ \n])(?:" + "|".join(f"(?:{re.sub(r'[(][?]P<.>', '(?:', p.pattern)})" for _, p in KNOWN) + ")", re.M | re.S)
 
 
 def normalised(sentence: str) -> str:
@@ -82,12 +86,12 @@ def normalised(sentence: str) -> str:
     return re.sub(r"\s+", " ", re.sub(r"[^a-z0-9.+]+", " ", sentence.lower())).strip(" .")
 
 
-def sentences(text: str) -> list[str]:
-    """Sentences of a text: comment signs at line starts go, lines of a paragraph are joined, full stops before blanks end a sentence."""
+def paragraphs(text: str) -> list[str]:
+    """Paragraphs of a text, a normalised sentence a line: comment signs at line starts go, lines are joined, full stops before blanks and the ends of SPDX lines end a sentence."""
     out = []
     for paragraph in re.split(r"\n\s*\n", COMMENT.sub("", text)):
-        lines = re.split(r"(?<=[.!?;])\s+", paragraph)
-        out += [normalised(x) for x in lines]
+        found = [normalised(x) for x in re.split(r"(?<=[.!?;])\s+", SPDX.sub(r"\1;", paragraph))]
+        out.append("\n".join(x for x in found if x))
     return [x for x in out if x]
 
 
@@ -97,12 +101,12 @@ def identifiers(text: str | None) -> list[str]:
     if not any(h in low for h in HINTS):
         return []
     out = []
-    for s in sentences(text):
+    for s in paragraphs(text):
         at = 0
         while m := ANY.search(s, at):
             for name, pattern in KNOWN:
                 if hit := pattern.match(s, m.start()):
-                    values = {k: v.strip().replace(" ", "-") for k, v in hit.groupdict().items()}
+                    values = {k: "-".join(v.split()) for k, v in hit.groupdict().items()}
                     out.append(name.format(**values) if values else name)
                     at = max(hit.end(), m.start() + 1)
                     break

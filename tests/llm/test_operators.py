@@ -311,6 +311,45 @@ def test_licences(spark):
     assert got == {i: v for i, v in enumerate(cases.values())} | {99: []}
 
 
+def test_licence_notices_as_they_are_worded(spark):
+    def gnu(what, name, v):
+        return f"""# This {what} is free software; you can redistribute it and/or modify
+# it under the terms of the GNU {name}General Public License as
+# published by the Free Software Foundation; either version {v} of the
+# License, or (at your option) any later version.
+#
+# This {what} is distributed in the hope that it will be useful,
+# but WITHOUT ANY WARRANTY; without even the implied warranty of
+# MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.
+#
+# You should have received a copy of the GNU {name}General Public License
+# along with this {what}; if not, see <https://www.gnu.org/licenses/>."""
+
+    def bsd(holder, clause=True):
+        return f"""Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice.
+2. Redistributions in binary form must reproduce the above copyright notice.
+{f"3. Neither the name of {holder} may be used to endorse or promote products derived from this software." if clause else ""}
+
+THIS SOFTWARE IS PROVIDED BY {holder} "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES ARE DISCLAIMED. IN NO EVENT
+SHALL THE COPYRIGHT HOLDER BE LIABLE."""
+
+    many = "the " + ", ".join(f"Institute of Subject {i}" for i in range(40)) + " nor the names of its contributors"
+    cases = {
+        gnu("program", "", "2"): ["GPL-2"], gnu("program", "", "3").replace("software;", "software:"): ["GPL-3"], gnu("library", "Lesser ", "2.1"): ["LGPL-2.1"], gnu("program", "Affero ", "3"): ["AGPL-3"],
+        "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this\nfile, You can obtain one at https://mozilla.org/MPL/2.0/.": ["MPL-2.0"],
+        bsd("the copyright holder nor the names of its contributors"): ["BSD-3-CLAUSE"], bsd(many): ["BSD-3-CLAUSE"], bsd("the copyright holders", False): ["BSD-2-CLAUSE"],
+        "// SPDX-License-Identifier: MIT\n// Copyright 2020 A": ["MIT"], "This is free and unencumbered software released into the public\ndomain.": ["UNLICENSE"],
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.\n\nTHE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES. IN NO EVENT SHALL THE AUTHOR BE LIABLE.": ["ISC"],
+        "This program is distributed in the hope that it will be useful.": ["unmatched"], "In no\nevent shall the authors be liable.": ["unmatched"],
+    }
+    rows = [(i, t) for i, t in enumerate(cases)]
+    got = {r["doc_id"]: [x.upper() if x != "unmatched" else x for x in r["licences"]] for r in licenses.scan(make(spark, rows)).collect()}
+    assert got == dict(enumerate(cases.values()))
+    assert all(any(h in text.replace("[sc]", "s") for h in licenses.HINTS) for _, text in licenses.SENTENCES)
+
+
 # --- op8 ---------------------------------------------------------------------------------------------
 
 def brute_repeats(rows, n=200):
