@@ -196,6 +196,13 @@ def context_prompt(spark, sf_dir):
     return d.select("doc_id", chunk.complete(chunk.context_prompt(F.col("text"), F.substring("text", 1, 100)), chunk.echo, "").alias("answer"))
 
 
+@query()
+def chunk_contexts(spark, sf_dir):
+    """The prompt of every chunk of every document, with the whole chunk."""
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("id"), F.col("source").alias("path"), "text", F.to_timestamp(F.lit("2024-05-01T00:00:00Z")).alias("updated_at"))
+    return Indexer(IndexConfig(block_limit=512, context="llm"), model=chunk.echo).chunk(d).select("doc_id", "order", "total", "text", "context")
+
+
 # --- representations ---------------------------------------------------------------------------------
 
 WEIGHT_SQL = "1.0::DOUBLE / (1 + pos % 7)"
@@ -431,6 +438,13 @@ def events_json(spark, sf_dir):
     return d.select("doc_id", g("c", "$.event.type").alias("kind"), g("c", "$.event.data.source.name").alias("name"), g("c", "$.event.data.document[0]").alias("document"), g("s", "$.event.data.done").alias("done"))
 
 
+@query("SELECT doc_id, source AS name, text AS document FROM documents")
+def citation_json(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").withColumn("c", dialog.citation_event(F.col("source"), F.col("text"), F.col("source")))
+    g = F.get_json_object
+    return d.select("doc_id", g("c", "$.event.data.source.name").alias("name"), g("c", "$.event.data.document[0]").alias("document"))
+
+
 # --- sources -------------------------------------------------------------------------------------------------
 
 @query()

@@ -34,3 +34,14 @@ def test_query_runs(spark, name):
 
 def test_entry(spark):
     assert entry.entry(spark).count() == 10
+
+
+def test_every_chunk_has_its_context(spark):
+    texts = {str(r["doc_id"]): r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    chunks = {}
+    for r in entry.queries()["chunk_contexts"](spark, SF).collect():
+        assert r["context"].strip() == f"Document:\n{texts[r['doc_id']]}\n\nPart:\n{r['text']}\n\nSay in one sentence what the part is about.".strip()
+        chunks.setdefault(r["doc_id"], []).append((r["order"], r["text"]))
+    assert chunks.keys() == {d for d, t in texts.items() if t.strip()} and max(map(len, chunks.values())) > 1
+    for d, parts in chunks.items():
+        assert "".join("".join(t for _, t in sorted(parts)).split()) == "".join(texts[d].split())
