@@ -1,18 +1,19 @@
 """Near-duplicates by improved consistent weighted sampling over TF-IDF word shingles.
 
-1. Document frequencies of five-word shingles are counted over all documents in 2**18 hash
-   buckets; a shingle's weight is its count in the text times 1 + SPREAD * log((1 + N) / (1 + df)) / log(1 + N),
-   which lies between 1 and 1 + SPREAD times the count, so that edits of a text that has very many copies don't outweigh it.
+1. Document frequencies of five-word shingles are counted over all documents in 2**18 hash buckets; what other
+   shingles add to a bucket is taken off as the median of all buckets, so that frequencies don't rise with the corpus. A
+   shingle's weight is its count in the text times 1 + spread * log((1 + N) / (1 + df)) / log(1 + N): between 1
+   and 1 + spread times the count. spread is a parameter; its default of 1 lets an edit that no other text has outweigh words
+   which very many copies share by 2 at most. With log(N) for it, near copies of texts with thousands of copies would part.
 2. Each text gets BANDS * ROWS weighted samples; texts that agree in all samples of a band meet.
-3. Texts that meet are compared by exact weighted Jaccard similarity (0.8 or more links them).
-   Only texts of different classes are compared. A band's bucket with up to SMALL texts outside its largest
-   class compares each of those with all others. In another one they are compared with one leader of the largest
-   class; if more than SMALL are outside it even then, the bucket's texts are joined exactly: each is posted under
-   the rarest shingles that make up 1 - SIMILARITY of its weight, and two texts that match share one of them.
-   Postings of one shingle are compared like a bucket, in turns: large ones with LEADERS texts and a leader of the
-   largest class, then with all others once at most SMALL, 4 * SMALL, 16 * SMALL and so on are outside it. No pair
-   is left out; texts of a group that match no leader and share rare shingles cost the square of their number.
-4. Connected components of the links are the classes; a class's id is its smallest doc_id.
+3. In each band's bucket all texts are compared, by exact weighted Jaccard similarity (0.8 or more links them), with
+   one of them: that of the least mean weight, which has the fewest shingles of its own and so resembles the most others.
+4. Texts in buckets where several classes are left are joined exactly, whatever the bucket's size. Of their shingles only those
+   that occur in several classes are posted, the rarest first, and of these only those before which 1 - similarity of the text's
+   weight lies at most; what lies before a common shingle on either side bounds the overlap. Again, first one text of the largest
+   class under a shingle is compared, then all texts of different classes that the bounds let through. No pair is left out; only
+   texts that pass the bounds and still don't match cost the square of their number.
+5. Connected components of the links are the classes; a class's id is its smallest doc_id.
 
 Equal texts are one node from the start, whatever their number. Defined results: a null text is
 an empty text; texts without a word equal only the same text; a null doc_id takes part and is the
@@ -28,14 +29,14 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import read_table, stage, text_col
+from .common import read_table, stage, text_col, unstage
 from .graph import components
 from .kernels import mix, salt, shingles, text_slices
 
-WIDTH, SIMILARITY, BANDS, ROWS, BUCKETS, SMALL, LEADERS, SPREAD = 5, 0.8, 12, 3, 18, 16, 4, 0.25
+WIDTH, SIMILARITY, BANDS, ROWS, BUCKETS, SPREAD = 5, 0.8, 12, 3, 18, 1.0
 
 
 def bucket(h: np.ndarray) -> np.ndarray:
@@ -43,8 +44,8 @@ def bucket(h: np.ndarray) -> np.ndarray:
     return (h & np.uint64((1 << BUCKETS) - 1)).astype(np.int64)
 
 
-def weights(docs: DataFrame) -> np.ndarray:
-    """The inverse document frequency of every bucket, over all documents."""
+def weights(docs: DataFrame, spread: float = SPREAD) -> np.ndarray:
+    """The weight of every bucket's shingles by their document frequency, over all documents."""
 
     def count(batches):
         seen, n = np.zeros(1 << BUCKETS, np.int64), 0
@@ -62,7 +63,8 @@ def weights(docs: DataFrame) -> np.ndarray:
     df = np.zeros(1 << BUCKETS)
     df[k[k >= 0]] = n[k >= 0]
     total = float(n[k < 0].sum())
-    return (1 + SPREAD * np.log((1 + total) / (1 + df)) / max(np.log(1 + total), 1e-9)).astype(np.float32) if total else np.ones(1 << BUCKETS, np.float32)
+    df = np.clip(df - np.median(df), 1, max(1, total))
+    return (1 + spread * np.log((1 + total) / (1 + df)) / max(np.log(1 + total), 1e-9)).astype(np.float32) if total else np.ones(1 << BUCKETS, np.float32)
 
 
 def samples(h: np.ndarray, w: np.ndarray, starts: np.ndarray, count: int) -> np.ndarray:
@@ -94,7 +96,7 @@ def samples(h: np.ndarray, w: np.ndarray, starts: np.ndarray, count: int) -> np.
 
 
 def signatures(docs: DataFrame, idf: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, node (the text's MD5) and the band hashes of every document; texts without words have none."""
+    """doc_id, node (the text's MD5), mean weight and band hashes of every document; texts without words have none."""
     sent = docs.sparkSession.sparkContext.broadcast(idf)  # 2 ** BUCKETS numbers
 
     def sign(batches):
@@ -104,7 +106,9 @@ def signatures(docs: DataFrame, idf: np.ndarray, bands: int = BANDS, rows: int =
                 texts = b.column(1).slice(a, e - a)
                 h, times, of = shingles(texts, WIDTH)
                 out: list = [[] for _ in range(e - a)]
+                mean = np.zeros(e - a)
                 if len(h):
+                    mean = np.bincount(of, times * w[bucket(h)], e - a) / np.maximum(np.bincount(of, times, e - a), 1)
                     starts = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
                     s = samples(h, times * w[bucket(h)], starts, bands * rows)
                     keys = np.empty((len(starts), bands), np.uint64)
@@ -116,9 +120,9 @@ def signatures(docs: DataFrame, idf: np.ndarray, bands: int = BANDS, rows: int =
                     for i, row in zip(of[starts].tolist(), keys.view(np.int64), strict=True):
                         out[i] = row
                 nodes = [hashlib.md5(x.as_py().encode()).digest() for x in texts]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(a, e - a), pa.array(nodes, pa.binary()), pa.array(out, pa.list_(pa.int64()))], names=["doc_id", "node", "bands"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(a, e - a), pa.array(nodes, pa.binary()), pa.array(mean), pa.array(out, pa.list_(pa.int64()))], names=["doc_id", "node", "mean", "bands"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_col().alias("text")).mapInArrow(sign, "doc_id long, node binary, bands array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_col().alias("text")).mapInArrow(sign, "doc_id long, node binary, mean double, bands array<long>")
 
 
 def similarity(left: pa.Array, right: pa.Array, idf: np.ndarray) -> np.ndarray:
@@ -154,44 +158,36 @@ def verified(pairs: DataFrame, texts: DataFrame, idf: np.ndarray) -> DataFrame:
 
 
 def prefixes(texts: DataFrame, idf: np.ndarray, threshold: float) -> DataFrame:
-    """node, key, size, before: postings of which two texts share one if their similarity reaches the threshold.
+    """node, key, size, before: postings of which two texts of different classes share one if their similarity reaches the threshold; staged.
 
-    Shingles are ordered by how many of these texts have them, the rarest first, and by hash; `before` is the weight of
-    those ahead, `size` that of all. The first shared one has the whole overlap behind it, which is threshold * size at least.
+    texts: node, root, text. Shingles in one class only take no part. The others are ordered by how many of these texts have them, the
+    rarest first, and by hash; `before` is the weight of those ahead and of all that take no part, `size` that of all. The
+    first common one has the whole overlap behind it, which is threshold * size at least.
     """
-    order = weights(texts)  # any total order is right; rarity keeps the postings short
-    sent = texts.sparkSession.sparkContext.broadcast((idf, order))
+    sent = texts.sparkSession.sparkContext.broadcast(idf)
 
     def post(batches):
-        w_all, rare = sent.value
+        w_all = sent.value
         for b in batches:
-            for a, e in text_slices(b.column(1)):
-                h, times, of = shingles(b.column(1).slice(a, e - a), WIDTH)
-                at = np.lexsort((h, -rare[bucket(h)], of))
-                h, of, w = h[at], of[at], times[at] * w_all[bucket(h[at])].astype(np.float64)
-                size = np.bincount(of, w, e - a)[of]
-                ahead = np.cumsum(w) - w
-                starts = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]])) if len(h) else np.zeros(0, np.int64)
-                ahead -= np.repeat(ahead[starts], np.diff(np.append(starts, len(h))))
-                keep = np.flatnonzero(ahead <= (1 - threshold + 1e-6) * size)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(a, e - a).take(pa.array(of[keep])), pa.array(h[keep].view(np.int64)), pa.array(size[keep]), pa.array(ahead[keep])], names=["node", "key", "size", "before"])
-
-    return texts.select("node", "text").mapInArrow(post, "node binary, key long, size double, before double")
+            for a, e in text_slices(b.column(2)):
+                h, times, of = shingles(b.column(2).slice(a, e - a), WIDTH)
+                w = times * w_all[bucket(h)].astype(np.float64)
+                rows = pa.array(of)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(a, e - a).take(rows), b.column(1).slice(a, e - a).take(rows), pa.array(h.view(np.int64)), pa.array(w), pa.array(np.bincount(of, w, e - a)[of])], names=["node", "class", "key", "w", "size"])
+
+    every = stage(texts.select("node", F.xxhash64("root").alias("class"), "text").mapInArrow(post, "node binary, class long, key long, w double, size double"), "shingles")
+    shared = every.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("class").alias("lo"), F.max("class").alias("hi")).filter("lo <> hi").select("key", "n")
+    own = Window.partitionBy("node")
+    ahead = F.col("size") - F.sum("w").over(own) + F.coalesce(F.sum("w").over(own.orderBy("n", "key").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    out = stage(every.join(shared, "key").select("node", "key", "size", ahead.alias("before")).filter(F.col("before") <= (1 - threshold + 1e-6) * F.col("size")), "posts")
+    unstage(every)
+    return out
 
 
 def buckets(posts: DataFrame) -> DataFrame:
-    """The keys where classes meet: how many texts are outside the largest class, and that class."""
+    """The keys where classes meet, and the largest class there."""
     by = posts.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
-    all_ = by.groupBy("key").agg(F.sum("n").alias("n"), F.max(F.struct("n", "root")).alias("t")).filter("n > t.n")
-    return all_.select("key", (F.col("n") - F.col("t.n")).alias("others"), F.col("t.root").alias("top"))
-
-
-def leaders(many: DataFrame, turn: int) -> DataFrame:
-    """key, root, node, size, before of the texts that a large bucket's others are compared with: one of its largest class and, after the first turn, LEADERS more."""
-    dealt = F.xxhash64("node", F.lit(turn))
-    part = F.when(F.col("root") == F.col("top"), -1).otherwise(F.pmod(dealt, F.lit(LEADERS)))
-    found = many.withColumn("part", part).groupBy("key", "part").agg(F.min(F.struct(F.xxhash64(dealt).alias("o"), "node", "root", "size", "before")).alias("l"))
-    return (found if turn else found.filter("part < 0")).select("key", "l.node", "l.root", "l.size", "l.before")
+    return by.groupBy("key").agg(F.sum("n").alias("n"), F.max(F.struct("n", "root")).alias("t")).filter("n > t.n").select("key", F.col("t.root").alias("top"))
 
 
 def meet(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
@@ -202,34 +198,47 @@ def meet(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
     return x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & able).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
 
 
-def classes(docs: DataFrame, threshold: float = SIMILARITY, small: int = SMALL) -> DataFrame:
+def classes(docs: DataFrame, threshold: float = SIMILARITY, spread: float = SPREAD) -> DataFrame:
     """One row per document: doc_id, node, root (the class), class_id, class_size."""
-    idf = weights(docs)
+    idf = weights(docs, spread)
     signed = stage(signatures(docs, idf), "signatures")
-    nodes = signed.groupBy("node").agg(F.first("bands").alias("bands"))
-    posts = nodes.select("node", F.col("node").alias("root"), F.explode("bands").alias("key"), F.lit(1.0).alias("size"), F.lit(0.0).alias("before"))
-    texts, roots, turn = None, None, 0
-    while True:
-        posts = stage(posts.join(buckets(posts), "key"), "posts")
-        if texts is None:
-            involved = posts.select("node").distinct()
-            every = docs.select(text_col().alias("text")).withColumn("node", F.unhex(F.md5("text")))
-            texts = stage(every.groupBy("node").agg(F.first("text").alias("text")).join(involved, "node"), "texts")
-        most = small * 4 ** max(0, turn - 1)
-        few, many = posts.filter(F.col("others") <= most), posts.filter(F.col("others") > most)
-        pairs = meet(few.filter("root <> top"), few, threshold).unionByName(meet(leaders(many, turn), many.filter("root <> top"), threshold)).distinct()
-        found = verified(pairs, texts, idf).filter(F.col("score") >= threshold).select("a", "b")
-        roots = components(found if roots is None else found.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
-        rest = many.select("key", "node", "size", "before").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        rest = stage(rest.join(buckets(rest).select("key", "others"), "key"), "rest")
-        if not rest.take(1):
-            break
-        posts = rest.drop("others")
-        if turn == 0:
-            large = rest.filter(F.col("others") > small).select("node").distinct()
-            further = prefixes(stage(texts.join(large, "node"), "large"), idf, threshold).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-            posts = rest.filter(F.col("others") <= small).drop("others").unionByName(further)
-        turn += 1
+    met = signed.dropDuplicates(["node"]).select("node", "mean", F.explode("bands").alias("key"))
+    tops = met.groupBy("key").agg(F.min(F.struct("mean", "node")).alias("t"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", F.col("t.node").alias("top"))
+    met = stage(met.join(tops, "key").select("key", "node", "top"), "met")
+    every = docs.select(text_col().alias("text")).withColumn("node", F.unhex(F.md5("text")))
+    texts = stage(every.join(met.select("node").distinct(), "node").dropDuplicates(["node"]), "texts")
+
+    def joined(pairs: DataFrame, roots: DataFrame | None) -> DataFrame:
+        """The classes after these pairs' comparison."""
+        found = verified(pairs.distinct(), texts, idf).filter(F.col("score") >= threshold).select("a", "b")
+        out = components(found if roots is None else found.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+        if roots is not None:
+            unstage(roots)
+        return out
+
+    def rooted(table: DataFrame, roots: DataFrame) -> DataFrame:
+        return table.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+    roots = joined(met.filter("node <> top").select(F.least("node", "top").alias("a"), F.greatest("node", "top").alias("b")), None)
+    left = rooted(met.select("key", "node"), roots)
+    left = stage(left.join(buckets(left).select("key"), "key").select("node", "root").distinct(), "left")
+    unstage(met)
+    if left.take(1):
+        posts = prefixes(texts.join(left, "node"), idf, threshold)
+        for first in (True, False):
+            live = rooted(posts, roots)
+            live = stage(live.join(buckets(live), "key"), "live")
+            others = live.filter("root <> top")
+            if first:
+                lead = live.filter("root = top").groupBy("key").agg(F.min(F.struct(F.expr("before / size").alias("o"), "node", "root", "size", "before")).alias("l"))
+                pairs = meet(lead.select("key", "l.node", "l.root", "l.size", "l.before"), others, threshold)
+            else:
+                pairs = meet(others, live, threshold)
+            roots = joined(pairs, roots)
+            unstage(live)
+        unstage(posts)
+    unstage(left)
+    unstage(texts)
     member = signed.select("doc_id", "node").join(roots, "node", "left").select("doc_id", "node", F.coalesce("root", "node").alias("root"))
     ids = member.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
     return member.join(ids, "root").select("doc_id", "node", "root", "class_id", "class_size")

@@ -409,7 +409,7 @@ def test_classes_equal_brute_force(spark):
         rows.append((200 + i, " ".join(w)))
     rows += [(300, None), (301, ""), (302, "!!"), (303, "a b"), (304, "A, b."), (None, base[2]), (5, base[5])]
     docs = make(spark, rows)
-    got = neardup.classes(docs, small=8).collect()
+    got = neardup.classes(docs).collect()
     idf = neardup.weights(docs)
     assert idf.min() >= 1 and idf.max() <= 1 + neardup.SPREAD + 1e-6
     c = [shingle_counts(t) for _, t in rows]
@@ -464,7 +464,7 @@ def test_texts_of_a_large_bucket_are_all_compared(spark, monkeypatch):
     docs = make(spark, rows)
     sign = neardup.signatures
     monkeypatch.setattr(neardup, "signatures", lambda *a: sign(*a).withColumn("bands", F.array(F.lit(1).cast("long"))))  # all texts meet in one bucket, once
-    got = {x["doc_id"]: x["class_id"] for x in neardup.classes(docs, small=2).collect()}
+    got = {x["doc_id"]: x["class_id"] for x in neardup.classes(docs).collect()}
     assert got == {i: min(j for j, t in rows if t.split()[60:110] == rows[i][1].split()[60:110]) for i, _ in rows}
 
 
