@@ -1,76 +1,109 @@
-"""python -m tessera.cli --config FILE --store DIR index | query QUESTION [--top-k N]"""
+"""python -m tessera.cli --config FILE [--store DIR] [-v] index | query QUESTION [--top-k N] | split FILE [--limit N] | serve [--port N]"""
 
 from __future__ import annotations
 
 import argparse
+import logging
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.config import RetrievalConfig, load_config
-from tessera.operators import retrieve, store
-from tessera.operators.embed import sparse_rows
+from tessera.config import Config, RetrievalConfig, load_config
+from tessera.functions import media_types
+from tessera.models import ChatClient, describer
+from tessera.operators import embed, retrieve, split, store
 from tessera.plans.index import Indexer
 from tessera.plans.rag import search
+from tessera.services import dense_service, server, sparse_service
 from tessera.ship import ship
 from tessera.sources.readers import markdown_files
+from tessera.sources.wiki import downloader, wiki_pages
 
+LOG = logging.getLogger("tessera")
 
-def newest(spark: SparkSession, base: str, name: str, schema: str) -> DataFrame:
-    """The current version of a table: the one that the pointer file names, or an empty one."""
-    try:
-        path = spark.read.text(f"{base}/{name}.current").orderBy(F.desc("value")).first()["value"]
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(path.split(" ", 1)[1])
 
+def chat(c) -> ChatClient | None:
+    return ChatClient(c.url, c.model, c.key) if c.url else None
 
-def publish(spark: SparkSession, df: DataFrame, base: str, name: str, number: int) -> None:
-    path = store.replace_path(df, f"{base}/{name}")
-    spark.createDataFrame([(f"{number:012d} {path}",)], "value string").coalesce(1).write.mode("append").text(f"{base}/{name}.current")
 
+def models(config: Config) -> dict:
+    """The configured services, or the stand-ins."""
+    return {"embed": dense_service(config.dense_url) if config.dense_url else embed.hashed_embedding, "weigh": sparse_service(config.sparse_url) if config.sparse_url else embed.counted_words}
 
-def index(spark: SparkSession, config, base: str) -> DataFrame:
-    if not config.local_documents:
-        raise SystemExit("no sources are configured")
-    docs, chunks = newest(spark, base, "documents", store.DOCUMENTS), newest(spark, base, "chunks", store.CHUNKS)
-    todo, new_docs, new_chunks = Indexer(config.index).run(markdown_files(spark, config.local_documents), docs, chunks)
-    report = todo.groupBy("action").count().toPandas()
-    import time
 
-    number = int(time.time())
-    publish(spark, new_chunks.select(*[f.name for f in chunks.schema if f.name in new_chunks.columns]), base, "chunks", number)
-    publish(spark, new_docs.select(*[f.name for f in docs.schema if f.name in new_docs.columns]), base, "documents", number)
-    return spark.createDataFrame(report) if len(report) else spark.createDataFrame([], "action string, count long")
+def sources(spark: SparkSession, config: Config) -> list[DataFrame]:
+    out = []
+    if config.local_documents:
+        LOG.info("source: documents below %s", config.local_documents)
+        out.append(markdown_files(spark, config.local_documents))
+    if config.wiki.url:
+        vision = chat(config.vision)
+        LOG.info("source: wiki %s, pictures %s", config.wiki.url, "described" if vision else "linked")
+        out.append(wiki_pages(spark, config.wiki, describer(vision, downloader(config.wiki), media_types) if vision else None))
+    return out
 
 
-def query(spark: SparkSession, base: str, question: str, config: RetrievalConfig) -> DataFrame:
-    chunks = newest(spark, base, "chunks", store.CHUNKS)
-    words = chunks.select("id", F.explode(F.split("text", "[ \n]+")).alias("tok")).filter("tok <> ''")
-    postings = sparse_rows(words.groupBy("id", "tok").agg(F.count(F.lit(1)).cast("double").alias("w")), "id")
+def index(spark: SparkSession, config: Config, base: str) -> DataFrame:
+    """One source after another; both tables switch together, by one pointer."""
+    found = sources(spark, config)
+    if not found:
+        raise SystemExit("no sources are configured")
+    indexer = Indexer(config.index, model=chat(config.llm), **models(config))
+    reports = []
+    for source in found:
+        now = store.Current.read(spark, base)
+        todo, docs, chunks = indexer.run(source, now.documents, now.chunks)
+        todo = todo.groupBy("action").count()
+        reports.append(spark.createDataFrame(todo.collect(), todo.schema))  # three rows at most
+        now.replace(docs, chunks)
+    out = reports[0]
+    for r in reports[1:]:
+        out = out.unionByName(r)
+    return out.groupBy("action").agg(F.sum("count").alias("count"))
+
+
+def query(spark: SparkSession, base: str, question: str, config: RetrievalConfig, embed_model: embed.Embed = embed.hashed_embedding, weigh: embed.Weigh = embed.counted_words) -> DataFrame:
+    """Hybrid search over the stored vectors, without an answer."""
+    chunks = store.Current.read(spark, base).chunks
     intents = spark.createDataFrame([(0, question)], "conv_id int, intent string")
-    found = search(intents, chunks, postings, config).join(chunks.select("id", "path", "order", "text", "updated_at"), "id")
-    return retrieve.report(found).select("rank", "score", "path", "order", "updated_at", "preview").orderBy("rank")
+    shown = chunks.select("id", "path", "order", "text", "updated_at", F.get_json_object("payload", "$.creator").alias("creator"))
+    found = search(intents, chunks, embed.postings_of(chunks), config, embed_model, weigh).join(shown, "id")
+    return retrieve.report(found).select("rank", "score", "path", "order", "creator", "updated_at", "preview").orderBy("rank")
 
 
 def main(args: list[str] | None = None) -> None:
     p = argparse.ArgumentParser(prog="tessera")
-    p.add_argument("--config", required=True)
+    p.add_argument("--config", default="config.yml")
     p.add_argument("--store", default="store")
+    p.add_argument("-v", "--debug", action="store_true", help="tell more, model answers included")
     sub = p.add_subparsers(dest="command", required=True)
-    sub.add_parser("index")
-    q = sub.add_parser("query")
+    sub.add_parser("index", help="bring the index up to date with the sources")
+    q = sub.add_parser("query", help="hybrid search without an answer")
     q.add_argument("question")
     q.add_argument("--top-k", type=int, default=10)
+    d = sub.add_parser("split", help="show how a text is split")
+    d.add_argument("file")
+    d.add_argument("--limit", type=int, default=512)
+    s = sub.add_parser("serve", help="serve the stand-in representations over HTTP")
+    s.add_argument("--port", type=int, default=8000)
     a = p.parse_args(args)
+    logging.basicConfig(level=logging.INFO, format="%(asctime)s %(levelname)-8s %(name)s %(message)s", datefmt="%H:%M:%S")
+    LOG.setLevel(logging.DEBUG if a.debug else logging.INFO)
+    if a.command == "split":
+        with open(a.file, encoding="utf-8") as f:
+            for i, part in enumerate(split.recursive(f.read(), a.limit)):
+                print(f"--- {i}: {split.count_tokens(part)} tokens\n{part}")
+        return
+    if a.command == "serve":
+        server(a.port, embed.hashed_embedding, embed.counted_words, "stand-in").serve_forever()
+        return
     config = load_config(a.config)
     spark = ship(SparkSession.builder.appName("tessera").config("spark.sql.session.timeZone", "UTC").getOrCreate())
     if a.command == "index":
         index(spark, config, a.store).show()
     else:
-        query(spark, a.store, a.question, RetrievalConfig(top_k=a.top_k)).show(a.top_k, truncate=False)
+        use = models(config)
+        query(spark, a.store, a.question, RetrievalConfig(top_k=a.top_k), use["embed"], use["weigh"]).show(a.top_k, truncate=False)
 
 
 if __name__ == "__main__":

@@ -15,6 +15,25 @@ class WikiFilter:
     skip_ancestor_ids: tuple[str, ...] = ()
 
 
+@dataclasses.dataclass(frozen=True)
+class WikiConfig:
+    """A wiki's address, who asks, with a password or token, and which pages are wanted."""
+
+    url: str = ""
+    user: str = ""
+    secret: str = ""
+    filter: WikiFilter = WikiFilter()
+
+
+@dataclasses.dataclass(frozen=True)
+class ModelConfig:
+    """An HTTP interface of a chat model; none without an address."""
+
+    url: str = ""
+    model: str = ""
+    key: str = "none"
+
+
 @dataclasses.dataclass(frozen=True)
 class IndexConfig:
     """block_limit: tokens of a block; llm_context: the model's window; chunker and context: 'plain' or 'llm'."""
@@ -45,7 +64,11 @@ class RetrievalConfig:
 @dataclasses.dataclass(frozen=True)
 class Config:
     local_documents: str | None = None
-    wiki: WikiFilter = WikiFilter()
+    wiki: WikiConfig = WikiConfig()
+    llm: ModelConfig = ModelConfig()
+    vision: ModelConfig = ModelConfig()
+    dense_url: str = ""
+    sparse_url: str = ""
     index: IndexConfig = IndexConfig()
     retrieval: RetrievalConfig = RetrievalConfig()
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -93,10 +95,20 @@ def media_type(url: Column) -> Column:
     return F.coalesce(known[F.lower(path)], F.lit("image/png"))
 
 
+def media_types(url: str) -> str:
+    """The same for one address."""
+    path = re.sub(r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*|[?#].*$", "", url)
+    return MEDIA_TYPES.get(path.rpartition("/")[2].rpartition(".")[2].lower(), "image/png")
+
+
 def iso_time(c: Column, otherwise: Column | None = None) -> Column:
     """An ISO date with time as a UTC timestamp; empty or invalid text gives `otherwise` (default: now)."""
-    fine = c.rlike(r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d+)?)?(Z|[+-]\d{2}:?\d{2})?)?$")
-    return F.coalesce(F.when(fine, F.try_to_timestamp(c)), F.current_timestamp() if otherwise is None else otherwise)
+    day, clock = r"\d{4}-?\d{2}-?\d{2}", r"[T ]\d{2}:?\d{2}(:?\d{2}([.,]\d+)?)?(Z|[+-]\d{2}(:?\d{2})?)?"
+    fine = c.rlike(rf"^{day}({clock})?$")
+    long = F.regexp_replace(F.regexp_replace(c, r"^(\d{4})(\d{2})(\d{2})", "$1-$2-$3"), r"([T ]\d{2})(\d{2})", "$1:$2")  # the compact form's marks
+    long = F.regexp_replace(F.regexp_replace(F.regexp_replace(long, r"([T ]\d{2}:\d{2})(\d{2})", "$1:$2"), ",", "."), r"([+-]\d{2})(\d{2})$", "$1:$2")
+    long = F.regexp_replace(F.regexp_replace(long, r"([T ].*[+-]\d{2})$", "$1:00"), r"(\.\d{6})\d+", "$1")
+    return F.coalesce(F.when(fine, F.try_to_timestamp(long)), F.current_timestamp() if otherwise is None else otherwise)
 
 
 def verdict_keep(v: Column) -> Column:
@@ -112,3 +124,37 @@ def verdict_comment(v: Column) -> Column:
 
 def display_name(path: Column) -> Column:
     return F.element_at(F.split(path, "/"), -1)
+
+
+def merged(base: Column, over: Column) -> Column:
+    """Two string maps as one; where both have a key, `over` counts."""
+    empty = F.create_map().cast("map<string,string>")
+    base, over = F.coalesce(base, empty), F.coalesce(over, empty)
+    return F.map_concat(F.map_filter(base, lambda k, v: ~F.map_contains_key(over, k)), over)
+
+
+def without_keys(m: Column, keys: list[str]) -> Column:
+    """A map without some of its keys."""
+    return F.map_filter(m, lambda k, v: ~k.isin(*keys))
+
+
+def url_join(base: Column, ref: Column) -> Column:
+    """A reference as an absolute address: whole ones stay, //host takes the scheme, /path the host, ?query the page, other paths the base's folder."""
+    scheme = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*:)//", 1)
+    host = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
+    page = F.regexp_extract(base, r"^([^?#]*)", 1)
+    folder = F.when(page == host, F.concat(host, F.lit("/"))).otherwise(F.regexp_replace(page, r"[^/]*$", ""))
+    path = F.regexp_extract(ref, r"^([^?#]*)", 1)
+    rest = F.substr(ref, F.char_length(path) + 1)
+    whole = F.substr(F.concat(folder, path), F.char_length(host) + 1)
+    # . and .. are taken out one after another
+    start = F.array().cast("array<string>")
+    parts = F.split(F.substring(whole, 2, 1 << 30), "/")
+    kept = F.aggregate(parts, start, lambda acc, x: F.when(x == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))).when(x == ".", acc).otherwise(F.concat(acc, F.array(x))))
+    tail = F.when(F.element_at(parts, -1).isin(".", "..") & (F.size(kept) > 0), F.lit("/")).otherwise(F.lit(""))
+    plain = F.concat(host, F.lit("/"), F.array_join(kept, "/"), tail, rest)
+    return (
+        F.when(ref.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), ref).when(ref == "", base).when(F.startswith(ref, F.lit("//")), F.concat(scheme, ref))
+        .when(F.startswith(ref, F.lit("/")), F.concat(host, ref)).when(F.startswith(ref, F.lit("?")), F.concat(page, ref))
+        .when(F.startswith(ref, F.lit("#")), F.concat(F.regexp_extract(base, r"^([^#]*)", 1), ref)).otherwise(plain)
+    )

@@ -52,20 +52,27 @@ def chunks_or_block(answers: list[Column], block: Column) -> Column:
     return F.coalesce(*[valid_chunks(a) for a in answers], F.array(block))
 
 
-def model_chunks(block: Column, model: Complete, tries: int = 3) -> Column:
+def cutter(model: Complete, tries: int = 3) -> Callable[[str], list[str]]:
     """Asks a model to cut a block, up to `tries` times; without a valid answer the block stays whole. Errors of the connection are not hidden."""
 
     def cut(text: str) -> list[str]:
         for _ in range(tries):
             try:
                 found = json.loads(model(f"{CHUNK_PROMPT}\n\n{text}"))["chunks"]
-            except (ValueError, KeyError):
+            except (ValueError, KeyError, TypeError):  # no JSON, no such key, or no answer at all
                 continue
             kept = [x for x in found if isinstance(x, str) and x.strip()] if isinstance(found, list) else []
             if kept:
                 return kept
         return [text]
 
+    return cut
+
+
+def model_chunks(block: Column, model: Complete, tries: int = 3) -> Column:
+    """The parts into which a model cuts each block."""
+    cut = cutter(model, tries)
+
     @F.arrow_udf("array<string>")
     def run(texts: pa.Array) -> pa.Array:
         return pa.array([cut(t) for t in texts.to_pylist()], pa.list_(pa.string()))
@@ -77,12 +84,16 @@ def context_prompt(document: Column, chunk: Column) -> Column:
     return F.concat(F.lit("Document:\n"), document, F.lit("\n\nPart:\n"), chunk, F.lit("\n\nSay in one sentence what the part is about."))
 
 
-def number_chunks(docs: DataFrame, blocks: Column, limit: int, cut: Callable[[Column], Column] | None = None) -> DataFrame:
-    """One row per chunk: id, doc_id, path, order, total, text, context, updated_at. Blocks are packed up to `limit` tokens.
+def number_parts(docs: DataFrame, texts: Column) -> DataFrame:
+    """One row per text of each document: id, doc_id, path, order, total, text, context, updated_at.
 
     The count and the numbers come from the document's own array, so no shuffle is needed.
     """
+    rows = docs.withColumn("__p", texts).select("doc_id", "path", "updated_at", F.size("__p").alias("total"), F.posexplode("__p").alias("order", "text"))
+    return rows.select(point_id(F.concat_ws("#", "doc_id", "order")).alias("id"), "doc_id", "path", "order", "total", "text", F.lit("").alias("context"), "updated_at")
+
+
+def number_chunks(docs: DataFrame, blocks: Column, limit: int, cut: Callable[[Column], Column] | None = None) -> DataFrame:
+    """The same, of blocks packed up to `limit` tokens; `cut` divides each pack further."""
     texts = F.transform(pack(blocks, limit), lambda p: F.array_join(p, "\n\n"))
-    texts = texts if cut is None else F.flatten(F.transform(texts, cut))
-    parts = docs.withColumn("__t", texts).select("doc_id", "path", "updated_at", F.size("__t").alias("total"), F.posexplode("__t").alias("order", "text"))
-    return parts.select(point_id(F.concat_ws("#", "doc_id", "order")).alias("id"), "doc_id", "path", "order", "total", "text", F.lit("").alias("context"), "updated_at")
+    return number_parts(docs, texts if cut is None else F.flatten(F.transform(texts, cut)))

@@ -9,16 +9,18 @@ from tessera.functions import strip
 
 
 def dialog_text(messages: DataFrame, by: str = "conv_id") -> DataFrame:
-    """by, n, only (the single message's text) and dialog (lines of user and assistant in order)."""
-    said = F.when(F.col("role") == "user", F.concat(F.lit("User: "), "text")).when(F.col("role") == "assistant", F.concat(F.lit("Assistant: "), "text"))
-    lines = F.filter(F.transform(F.sort_array(F.collect_list(F.struct("turn", said.alias("line"), "text"))), lambda x: x["line"]), lambda x: x.isNotNull())
+    """by, n, only (the single message's text) and dialog (lines of user and assistant in order, each stripped; a null text is empty)."""
+    said = F.coalesce(strip(F.col("text")), F.lit(""))
+    line = F.when(F.col("role") == "user", F.concat(F.lit("User: "), said)).when(F.col("role") == "assistant", F.concat(F.lit("Assistant: "), said))
+    lines = F.filter(F.transform(F.sort_array(F.collect_list(F.struct("turn", line.alias("line"), "text"))), lambda x: x["line"]), lambda x: x.isNotNull())
     return messages.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.min("text").alias("only"), F.array_join(lines, "\n").alias("dialog"))
 
 
 def intent(messages: DataFrame, answer=lambda dialog: dialog, by: str = "conv_id") -> DataFrame:
-    """by, intent: a single message as it stands, else a model's answer to the dialog (`answer` builds the column)."""
+    """by, intent: a single message as it stands, else a model's answer to the dialog (`answer` builds the column and sees no single message)."""
     d = dialog_text(messages, by)
-    return d.select(by, strip(F.when(F.col("n") == 1, F.col("only")).otherwise(answer(F.col("dialog")))).alias("intent"))
+    alone = d.filter("n = 1").select(by, F.coalesce(strip(F.col("only")), F.lit("")).alias("intent"))
+    return alone.unionByName(d.filter("n > 1").select(by, "dialog").select(by, strip(answer(F.col("dialog"))).alias("intent")))
 
 
 def stream_text(frames: DataFrame, by: str = "stream", order: str = "seq", line: str = "line") -> DataFrame:

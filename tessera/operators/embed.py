@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import base64
+import functools
+import hashlib
 import zlib
+from collections import Counter
 from collections.abc import Callable
 
 import numpy as np
@@ -11,12 +14,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions import token_hash
+from tessera.functions import INDEX_MODULUS, strip, token_hash
 
 #: What the dense model wants before documents and queries.
 DOCUMENT_PREFIX, QUERY_PREFIX = "search_document: ", "search_query: "
 
 Embed = Callable[[list[str]], list[list[float]]]
+#: A sparse model: of every text its tokens with their weights.
+Weigh = Callable[[list[str]], list[dict[str, float]]]
 
 
 def hashed_embedding(texts: list[str], dim: int = 64) -> list[list[float]]:
@@ -29,6 +34,98 @@ def hashed_embedding(texts: list[str], dim: int = 64) -> list[list[float]]:
     return out.tolist()
 
 
+def dense_model(name: str) -> Embed:
+    """A sentence-transformers model, loaded once per worker; the package is needed there only."""
+    held: list = []
+
+    def run(texts: list[str]) -> list[list[float]]:
+        if not held:
+            from sentence_transformers import SentenceTransformer
+
+            held.append(SentenceTransformer(name))
+        return held[0].encode(texts, normalize_embeddings=False).tolist()
+
+    return run
+
+
+def counted_words(texts: list[str]) -> list[dict[str, float]]:
+    """Stand-in for a sparse model: how often each blank-separated word occurs."""
+    return [{w: float(n) for w, n in Counter(t.split()).items()} for t in texts]
+
+
+def token_weights(ids: list[int], weights: list[float], special: set[int], decode: Callable[[int], str]) -> dict[str, float]:
+    """A model's positive weights by decoded token, the largest of each; special tokens have none."""
+    out: dict[str, float] = {}
+    for i, w in zip(ids, weights, strict=True):
+        if i not in special and w > 0:
+            tok = decode(i).strip()
+            out[tok] = max(out.get(tok, 0.0), float(w))
+    return out
+
+
+def sparse_model(name: str, device: str | None = None, longest: int = 8192) -> Weigh:
+    """A token classification model that weighs tokens, loaded once per worker; transformers and torch are needed there only."""
+    held: list = []
+
+    def run(texts: list[str]) -> list[dict[str, float]]:
+        import torch
+        from transformers import AutoModelForTokenClassification, AutoTokenizer
+
+        if not held:
+            where = torch.device(device or ("cuda" if torch.cuda.is_available() else "cpu"))
+            kind = torch.float16 if where.type == "cuda" else torch.float32
+            held[:] = [AutoTokenizer.from_pretrained(name, trust_remote_code=True), AutoModelForTokenClassification.from_pretrained(name, trust_remote_code=True, torch_dtype=kind).to(where).eval()]
+        tokenizer, model = held
+        special = {getattr(tokenizer, f"{k}_token_id", None) for k in ("cls", "eos", "pad", "unk")} - {None}
+        out = []
+        for t in texts:
+            enc = {k: v.to(model.device) for k, v in tokenizer(t, return_tensors="pt", truncation=True, max_length=longest).items()}
+            enc["position_ids"] = torch.arange(enc["input_ids"].shape[1], device=model.device).unsqueeze(0)
+            with torch.no_grad():
+                w = torch.relu(model(**enc, return_dict=True).logits).squeeze(-1)[0].cpu().tolist()
+            out.append(token_weights(enc["input_ids"][0].tolist(), w, special, lambda i: tokenizer.decode([i], skip_special_tokens=True)))
+        return out
+
+    return run
+
+
+@functools.lru_cache(1 << 18)
+def index_of(token: str) -> int:
+    """The same number as functions.token_hash."""
+    return int.from_bytes(hashlib.md5(token.encode()).digest()) % INDEX_MODULUS
+
+
+def sparse_of(weights: dict[str, float]) -> dict[str, list]:
+    """Indices, ascending, and values of a token-to-weight map; of tokens with one index the larger weight counts."""
+    by: dict[int, float] = {}
+    for tok, w in weights.items():
+        i = index_of(tok)
+        by[i] = max(by.get(i, float("-inf")), w)
+    return {"indices": sorted(by), "values": [by[i] for i in sorted(by)]}
+
+
+def sparse(c: Column, weigh: Weigh = counted_words) -> Column:
+    """Sparse vectors of a text column in batches."""
+
+    @F.arrow_udf("struct<indices:array<bigint>,values:array<float>>")
+    def run(texts: pa.Array) -> pa.Array:
+        rows = [sparse_of(w) for w in weigh([t or "" for t in texts.to_pylist()])]
+        return pa.array(rows, pa.struct([("indices", pa.list_(pa.int64())), ("values", pa.list_(pa.float32()))]))
+
+    return run(c)
+
+
+def postings_of(chunks: DataFrame) -> DataFrame:
+    """id, idx, w from stored sparse vectors (id, keywords)."""
+    pairs = F.arrays_zip(F.col("keywords.indices").alias("idx"), F.col("keywords.values").alias("w"))
+    return chunks.select("id", F.explode(pairs).alias("p")).select("id", F.col("p.idx").alias("idx"), F.col("p.w").cast("double").alias("w"))
+
+
+def metadata_payload(creator: Column, created_at: Column) -> Column:
+    """JSON of a document's author and time of creation; what is null is left out."""
+    return F.to_json(F.struct(creator.alias("creator"), F.date_format(created_at, "yyyy-MM-dd'T'HH:mm:ssxxx").alias("created_at")))
+
+
 def dense(c: Column, embed: Embed = hashed_embedding, prefix: str = DOCUMENT_PREFIX) -> Column:
     """Vectors of a text column in batches; `embed` may load its model once per worker."""
 
@@ -47,7 +144,7 @@ def dense_text() -> Column:
 def sparse_rows(tokens: DataFrame, key: str, special: tuple[str, ...] = ()) -> DataFrame:
     """key, idx, w from key, tok, w: the largest positive weight per token, then per hash."""
     kept = tokens.filter((F.col("w") > 0) & ~F.col("tok").isin(*special) if special else F.col("w") > 0)
-    per_token = kept.groupBy(key, F.trim("tok").alias("tok")).agg(F.max("w").alias("w"))
+    per_token = kept.groupBy(key, strip(F.col("tok")).alias("tok")).agg(F.max("w").alias("w"))
     return per_token.groupBy(key, token_hash(F.col("tok")).alias("idx")).agg(F.max("w").alias("w"))
 
 

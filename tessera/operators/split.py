@@ -1,28 +1,66 @@
-"""Splitters that need a document's whole state: tables, sizes and their chain, as Arrow functions.
+"""Splitters that need a document's whole state: tables, meaning, sizes and their chain, as Arrow functions.
 
-Each takes a text and returns its ordered parts. Rows never meet, so nothing is shuffled.
+A splitter takes a text and returns its ordered parts; the text alone means that it doesn't apply. Chains take any of
+them in any order. Rows never meet, so nothing is shuffled.
 """
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Callable
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 HEADING = re.compile(r"^#{1,6}\s", re.M)
-ROW = re.compile(r"^\s*\|.*\|\s*$")
-RULE = re.compile(r"^\s*\|[\s:|-]+\|\s*$")
+ROW = re.compile(r"^\s*\|")
+RULE = re.compile(r"^\s*\|[\s\-:|]+\|\s*$")
 
 Counter = Callable[[str], int]
+Splitter = Callable[[str], list[str]]
 
 
 def count_tokens(text: str) -> int:
     return -(-len(text) // 4)
 
 
+@functools.cache
+def bpe_counter(path: str) -> Counter:
+    """Counts tokens by a vocabulary file, loaded once per worker."""
+    from tokenizers import Tokenizer
+
+    own = Tokenizer.from_file(path)
+    return lambda text: len(own.encode(text, add_special_tokens=False).ids)
+
+
+def named_counter(encoding: str = "cl100k_base") -> Counter:
+    """Counts tokens by an encoding that tiktoken knows, loaded once per worker."""
+    held: list = []
+
+    def count(text: str) -> int:
+        if not held:
+            import tiktoken
+
+            held.append(tiktoken.get_encoding(encoding))
+        return len(held[0].encode(text))
+
+    return count
+
+
+def counted(c: Column, counter: Callable[[], Counter]) -> Column:
+    """A text column's token counts; `counter` makes the counter on the worker."""
+
+    @F.arrow_udf("bigint")
+    def run(texts: pa.Array) -> pa.Array:
+        count = counter()
+        return pa.array([None if t is None else count(t) for t in texts.to_pylist()], pa.int64())
+
+    return run(c)
+
+
 def by_headings(text: str) -> list[str]:
     starts = [m.start() for m in HEADING.finditer(text)]
     if len(starts) < 2:
@@ -33,29 +71,59 @@ def by_headings(text: str) -> list[str]:
     return [p for p in (text[a:b].strip() for a, b in zip(edges, edges[1:], strict=False)) if p]
 
 
-def table_layout(lines: list[str]) -> tuple[int, int] | None:
-    """Place of the first table's rule line and of the line behind its last row."""
-    for i in range(1, len(lines)):
-        if RULE.match(lines[i]) and "-" in lines[i] and ROW.match(lines[i - 1]):
-            end = i + 1
-            while end < len(lines) and ROW.match(lines[end]):
-                end += 1
-            return i, end
-    return None
+def run_of_rows(lines: list[str], start: int) -> int:
+    """Where the table rows that begin at `start` end."""
+    while start < len(lines) and ROW.match(lines[start]):
+        start += 1
+    return start
+
+
+def table_layout(lines: list[str]) -> tuple[int, int, int] | None:
+    """Places of the first table's first line, of its rule line and of the line behind its last row.
+
+    The head may have several lines; the first line counts as head whatever it holds.
+    """
+    top = next((i for i, x in enumerate(lines) if ROW.match(x)), None)
+    if top is None:
+        return None
+    rule = next((i for i in range(top + 1, run_of_rows(lines, top)) if RULE.match(lines[i])), None)
+    return None if rule is None else (top, rule, run_of_rows(lines, rule + 1))
 
 
 def by_table_rows(text: str, rows: int = 20) -> list[str]:
-    """The first table in pieces of `rows` rows, each with the table's head; text before goes to the first piece, text behind to the last."""
+    """The first table in pieces of `rows` rows, each with the table's head; text before goes to the first piece, text behind to the last.
+
+    Applies where more than `rows` rows follow the text's first rule line.
+    """
     lines = text.split("\n")
+    rule = next((i for i, x in enumerate(lines) if RULE.match(x)), None)
+    if rule is None or run_of_rows(lines, rule + 1) - rule - 1 <= rows:
+        return [text]
     found = table_layout(lines)
-    if not found or found[1] - found[0] - 1 <= rows:
+    if not found or found[2] == found[1] + 1:
         return [text]
-    rule, end = found
-    before, head, data, after = lines[: rule - 1], lines[rule - 1 : rule + 1], lines[rule + 1 : end], lines[end:]
-    pieces = [head + data[i : i + rows] for i in range(0, len(data), rows)]
-    pieces[0] = before + pieces[0]
-    pieces[-1] = pieces[-1] + after
-    return ["\n".join(p).strip("\n") for p in pieces]
+    top, rule, end = found
+    starts = range(rule + 1, end, rows)
+    pieces = [lines[top : rule + 1] + lines[i : min(i + rows, end)] for i in starts]
+    pieces[0] = lines[:top] + pieces[0]
+    pieces[-1] += lines[end:]
+    return [p for p in ("\n".join(x).strip() for x in pieces) if p]
+
+
+def by_meaning(embed: Callable[[list[str]], list[list[float]]], percentile: float = 95, least: int = 3) -> Splitter:
+    """A splitter between sentences whose cosine distance is above a percentile of all distances in the text."""
+
+    def cut(text: str) -> list[str]:
+        units = [x for x in (u.strip() for u in re.split(r"(?<=[.!?])\s+", text)) if x]
+        if len(units) < least:
+            return [text]
+        v = np.asarray(embed(units), np.float32)
+        size = np.linalg.norm(v, axis=1)
+        far = 1.0 - (v[:-1] * v[1:]).sum(axis=1) / (size[:-1] * size[1:] + 1e-8)
+        edges = [0, *(np.flatnonzero(far > np.percentile(far, percentile)) + 1).tolist(), len(units)]
+        return [" ".join(units[a:b]) for a, b in zip(edges, edges[1:], strict=False)] if len(edges) > 2 else [text]
+
+    return cut
 
 
 def filled(units: list[str], glue: str, limit: int, count: Counter, smaller: Callable[[str], list[str]]) -> list[str]:
@@ -95,8 +163,14 @@ def by_size(text: str, limit: int, count: Counter = count_tokens) -> list[str]:
     return filled(paragraphs, "\n\n", limit, count, by_sentence)
 
 
-def recursive(text: str, limit: int, count: Counter = count_tokens, rows: int = 20) -> list[str]:
-    """Headings, then table rows, then sizes: the first that makes progress, again on each part."""
+def chain(limit: int, count: Counter = count_tokens, rows: int = 20, meaning: Splitter | None = None) -> list[Splitter]:
+    """The usual order: headings, table rows, meaning if a splitter for it is given, sizes."""
+    return [by_headings, lambda t: by_table_rows(t, rows), *([meaning] if meaning else []), lambda t: by_size(t, limit, count)]
+
+
+def recursive(text: str, limit: int, count: Counter = count_tokens, rows: int = 20, splitters: list[Splitter] | None = None) -> list[str]:
+    """The first splitter of the chain that makes progress, and the chain again on each of its parts, until all fit."""
+    cuts = chain(limit, count, rows) if splitters is None else splitters
     done: list[str] = []
     todo = [text]
     while todo:
@@ -104,16 +178,31 @@ def recursive(text: str, limit: int, count: Counter = count_tokens, rows: int =
         if count(t) <= limit:
             done.append(t)
             continue
-        for cut in (by_headings, lambda x: by_table_rows(x, rows), lambda x: by_size(x, limit, count)):
-            parts = cut(t)
-            if parts and parts != [t]:
-                todo += reversed(parts)
+        for cut in cuts:
+            found = cut(t)
+            if found and found != [t]:
+                todo += reversed(found)
                 break
         else:
             done.append(t)
     return done
 
 
+def packed(blocks: list[str], limit: int, count: Counter = count_tokens) -> list[list[str]]:
+    """Neighbouring blocks together up to `limit` tokens by any counter; a larger block is alone."""
+    out: list[list[str]] = []
+    used = 0
+    for b in blocks:
+        n = count(b)
+        if out and used + n <= limit:
+            out[-1].append(b)
+            used += n
+        else:
+            out.append([b])
+            used = n
+    return out
+
+
 def parts(cut: Callable[[str], list[str]], c: Column) -> Column:
     """A splitter as a column of ordered parts."""
 
@@ -135,3 +224,10 @@ def semantic_groups(units: DataFrame, doc: str, pos: str, vec: str, percentile:
     limit = F.percentile("dist", F.lit(percentile)).over(whole)
     cut = F.when((F.count(F.lit(1)).over(whole) >= least) & (F.col("dist") > limit), 1).otherwise(0)
     return out.withColumn("__c", cut).withColumn("grp", F.sum("__c").over(order).cast("bigint")).drop("__c")
+
+
+def joined_groups(units: DataFrame, doc: str, pos: str, vec: str, text: str, percentile: float = 0.95, least: int = 3) -> DataFrame:
+    """doc, grp, text: the units of each semantic group joined again in their order."""
+    groups = semantic_groups(units, doc, pos, vec, percentile, least)
+    ordered = F.transform(F.sort_array(F.collect_list(F.struct(pos, text))), lambda x: x[text])
+    return groups.groupBy(doc, "grp").agg(F.array_join(ordered, " ").alias(text))

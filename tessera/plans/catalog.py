@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera import functions as X
-from tessera.config import IndexConfig, WikiFilter
+from tessera.config import IndexConfig, RetrievalConfig, WikiFilter
 from tessera.operators import chunk, dialog, embed, retrieve, split, store
+from tessera.plans import rag
 from tessera.plans.index import Indexer
 from tessera.sources import html, readers
 
@@ -112,6 +116,20 @@ def table_split(spark, sf_dir):
     return md.select("o_custkey", F.posexplode(split.parts(lambda t: split.by_table_rows(t, 5), F.col("md"))).alias("pos", "part"))
 
 
+@query("""
+WITH o AS (SELECT o_custkey, '| ' || o_orderkey || ' | ' || o_orderstatus AS line, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS i, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders),
+p AS (SELECT o_custkey, n, CASE WHEN n > 5 THEN i // 5 ELSE 0 END AS piece, string_agg(line, chr(10) ORDER BY i) AS body FROM o GROUP BY ALL),
+q AS (SELECT *, max(piece) OVER (PARTITION BY o_custkey) AS last FROM p)
+SELECT o_custkey, CAST(piece AS INT) AS pos, CASE WHEN piece = 0 THEN 'Orders' || chr(10) ELSE '' END || '| key |' || chr(10) || '| of | state' || chr(10) || '|:--|--:|' || chr(10) || body || CASE WHEN piece = last THEN chr(10) || 'End' ELSE '' END AS part FROM q""")
+def table_heads(spark, sf_dir):
+    """Tables with heads of two lines and rows without a closing bar."""
+    o = table(spark, sf_dir, "orders")
+    line = F.concat(F.lit("| "), F.col("o_orderkey").cast("string"), F.lit(" | "), "o_orderstatus")
+    rows = F.transform(F.sort_array(F.collect_list(F.struct("o_orderkey", line.alias("line")))), lambda x: x["line"])
+    md = o.groupBy("o_custkey").agg(F.concat(F.lit("Orders\n| key |\n| of | state\n|:--|--:|\n"), F.array_join(rows, "\n"), F.lit("\nEnd")).alias("md"))
+    return md.select("o_custkey", F.posexplode(split.parts(lambda t: split.by_table_rows(t, 5), F.col("md"))).alias("pos", "part"))
+
+
 @query("""
 WITH s AS (SELECT doc_id, string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)) AS p FROM documents),
 u AS (SELECT doc_id, unnest(p) AS t, generate_subscripts(p, 1) AS i FROM s),
@@ -132,6 +150,24 @@ def semantic_breakpoints(spark, sf_dir):
     return split.semantic_groups(e, "label", "vec_id", "embedding").select("label", "vec_id", "dist", "grp")
 
 
+@query("""
+WITH e AS (SELECT label, vec_id, embedding::DOUBLE[] AS v, lag(embedding::DOUBLE[]) OVER (PARTITION BY label ORDER BY vec_id) AS p FROM embeddings),
+d AS (SELECT label, vec_id, CASE WHEN p IS NOT NULL THEN round(1.0::DOUBLE - list_inner_product(p, v) / (sqrt(list_inner_product(p, p)) * sqrt(list_inner_product(v, v)) + 1e-8::DOUBLE), 6) END AS dist FROM e),
+q AS (SELECT label, quantile_cont(dist, 0.95) AS lim, count(*) AS n FROM d GROUP BY label),
+g AS (SELECT d.label, d.vec_id, CAST(sum(CASE WHEN n >= 3 AND dist > lim THEN 1 ELSE 0 END) OVER (PARTITION BY d.label ORDER BY d.vec_id) AS BIGINT) AS grp FROM d JOIN q USING (label))
+SELECT label, grp, string_agg('s' || vec_id, ' ' ORDER BY vec_id) AS sentence FROM g GROUP BY label, grp""")
+def semantic_join(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings").withColumn("sentence", F.concat(F.lit("s"), F.col("vec_id").cast("string")))
+    return split.joined_groups(e, "label", "vec_id", "embedding", "sentence")
+
+
+@query()
+def semantic_split(spark, sf_dir):
+    """Documents cut where neighbouring sentences' vectors are farthest apart."""
+    d = table(spark, sf_dir, "documents")
+    return d.select("doc_id", F.posexplode(split.parts(split.by_meaning(embed.hashed_embedding), F.col("text"))).alias("pos", "part"))
+
+
 @query("""
 WITH g AS (SELECT doc_id, text, unnest(range(0, greatest(length(text), 0), 800)) AS i FROM documents)
 SELECT doc_id, CAST(i // 800 AS INT) AS pos, substr(text, i + 1, 800) AS part FROM g""")
@@ -228,9 +264,18 @@ c AS (SELECT doc_id, tok, count(*)::DOUBLE AS w FROM t GROUP BY doc_id, tok),
 post AS (SELECT doc_id AS id, {HASH_SQL} AS idx, max(w) AS w FROM c GROUP BY id, idx)"""
 
 
+def counts(texts: list[str]) -> list[dict[str, float]]:
+    return [{w: float(n) for w, n in Counter(re.split("[ \n]+", t)).items()} for t in texts]
+
+
 def postings(docs: DataFrame) -> DataFrame:
-    counts = words(docs).groupBy("doc_id", "tok").agg(F.count(F.lit(1)).cast("double").alias("w"))
-    return embed.sparse_rows(counts, "doc_id").withColumnRenamed("doc_id", "id")
+    """id, idx, w: each document's sparse vector is made where the document lies, so nothing is shuffled."""
+    return embed.postings_of(docs.select(F.col("doc_id").alias("id"), embed.sparse(F.col("text"), counts).alias("keywords")))
+
+
+@query(f"WITH {POST_SQL} SELECT id, idx, w FROM post")
+def chunk_keywords(spark, sf_dir):
+    return postings(table(spark, sf_dir, "documents"))
 
 
 SPARSE_SQL = f"{POST_SQL}, s AS (SELECT p.id, round(sum(p.w * q.w), 6) AS score FROM post p JOIN post q ON p.idx = q.idx AND q.id = 0 GROUP BY p.id)"
@@ -313,7 +358,29 @@ def dense_embedding(spark, sf_dir):
 def metadata_payload(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
     created = F.when(F.col("doc_id") % 2 == 0, F.to_timestamp(F.lit("2024-01-02T03:04:05Z")))
-    return d.select("doc_id", F.to_json(F.struct(F.col("source").alias("creator"), F.date_format(created, "yyyy-MM-dd'T'HH:mm:ssxxx").alias("created_at"))).alias("payload"))
+    return d.select("doc_id", embed.metadata_payload(F.col("source"), created).alias("payload"))
+
+
+@query("""
+SELECT CAST(doc_id AS VARCHAR) AS id, source || '/' || doc_id AS path, lang AS source_type, CASE WHEN doc_id % 3 = 0 THEN 0 ELSE length(text) END AS size, CASE WHEN doc_id % 2 = 0 THEN 'ann' END AS creator,
+  'x' || doc_id AS tag, md5(text) AS text_md5 FROM documents""")
+def payload_document(spark, sf_dir):
+    """Stored payloads back as documents, with their further fields."""
+    d = table(spark, sf_dir, "documents")
+    core = F.create_map(F.lit("id"), F.col("doc_id").cast("string"), F.lit("path"), F.concat_ws("/", "source", "doc_id"), F.lit("text"), F.col("text"), F.lit("updated_at"), F.lit("2024-05-01T00:00:00+00:00"), F.lit("source_type"), F.col("lang"), F.lit("creator"), F.lit("bob"))
+    more = F.map_concat(F.create_map(F.lit("tag"), F.concat(F.lit("x"), F.col("doc_id").cast("string"))), F.when(F.col("doc_id") % 2 == 0, F.create_map(F.lit("creator"), F.lit("ann"))).otherwise(F.create_map(F.lit("creator"), F.lit(None).cast("string"))))
+    size = F.when(F.col("doc_id") % 3 != 0, F.create_map(F.lit("size"), F.char_length("text").cast("string")))
+    docs = store.as_documents(d.select(X.merged(X.merged(core, more), size).alias("payload")))
+    return docs.select("id", "path", "source_type", "size", "creator", F.col("payload")["tag"].alias("tag"), F.md5("text").alias("text_md5"))
+
+
+@query("""
+SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'https://host.example/a/b/c.png' WHEN 1 THEN 'https://host.example/x.png' WHEN 2 THEN 'https://other.example/y.png' WHEN 3 THEN 'https://host.example/a/d.png' ELSE 'https://cdn.example/z.png?v=' || event_type END AS url FROM events""")
+def image_address(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    k = F.col("event_id") % 5
+    ref = F.when(k == 0, "c.png").when(k == 1, "/x.png").when(k == 2, "https://other.example/y.png").when(k == 3, "../d.png").otherwise(F.concat(F.lit("//cdn.example/z.png?v="), "event_type"))
+    return e.select("event_id", X.url_join(F.lit("https://host.example/a/b/page?q=1"), ref).alias("url"))
 
 
 # --- tables and incremental indexing ---------------------------------------------------------------
@@ -367,8 +434,8 @@ def doc_lookup(spark, sf_dir):
 @query()
 def index_run(spark, sf_dir):
     """All documents through the whole chain: split, pack, number, embed."""
-    d = headed(table(spark, sf_dir, "documents")).select(F.concat_ws("/", "source", "doc_id").alias("id"), F.concat_ws("/", "source", "doc_id").alias("path"), F.col("md").alias("text"), F.to_timestamp(F.lit("2024-05-01T00:00:00Z")).alias("updated_at"))
-    return Indexer(IndexConfig(block_limit=512)).chunk(d).select("id", "doc_id", "order", "total", "text", "full")
+    d = headed(table(spark, sf_dir, "documents")).select(F.concat_ws("/", "source", "doc_id").alias("id"), F.concat_ws("/", "source", "doc_id").alias("path"), F.col("md").alias("text"), F.to_timestamp(F.lit("2024-05-01T00:00:00Z")).alias("updated_at"), F.col("source").alias("creator"))
+    return Indexer(IndexConfig(block_limit=512)).chunk(d).select("id", "doc_id", "order", "total", "text", "full", "keywords", "payload")
 
 
 # --- retrieval ----------------------------------------------------------------------------------------
@@ -393,10 +460,10 @@ def filter_verdict(spark, sf_dir):
 
 
 @query("""
-WITH n AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS n, text FROM conversations)
-SELECT conv_id AS query, 'Sources:' || chr(10) || chr(10) || string_agg('[' || n || '] conv/' || conv_id || chr(10) || text, chr(10) || chr(10) ORDER BY n) AS context FROM n GROUP BY conv_id""")
+WITH n AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS n, role, text FROM conversations)
+SELECT conv_id AS query, 'Sources:' || chr(10) || chr(10) || string_agg('[' || n || '] conv/' || conv_id || chr(10) || 'About: ' || role || chr(10) || 'Text: ' || text || chr(10) || 'As of: 2024-05-01 00:00:00', chr(10) || chr(10) ORDER BY n) AS context FROM n GROUP BY conv_id""")
 def context_assembly(spark, sf_dir):
-    c = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("query"), F.col("conv_id").alias("doc_id"), F.col("turn").alias("order"), F.concat(F.lit("conv/"), F.col("conv_id").cast("string")).alias("path"), "text")
+    c = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("query"), F.col("conv_id").alias("doc_id"), F.col("turn").alias("order"), F.concat(F.lit("conv/"), F.col("conv_id").cast("string")).alias("path"), "text", F.col("role").alias("context"), F.to_timestamp(F.lit("2024-05-01T00:00:00Z")).alias("updated_at"))
     return retrieve.assemble(c)
 
 
@@ -405,15 +472,24 @@ def result_projection(spark, sf_dir):
     return retrieve.report(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-@query("SELECT CAST(doc_id AS VARCHAR) AS id, source AS doc_id, '' AS path, 0 AS \"order\", 0 AS total, text, '' AS context, '' AS creator, 0.0::DOUBLE AS score FROM documents")
+@query("SELECT CAST(doc_id AS VARCHAR) AS id, source AS doc_id, '' AS path, 0 AS \"order\", 0 AS total, text, '' AS context, '' AS updated_at, '' AS creator, 0.0::DOUBLE AS score FROM documents")
 def point_to_chunk(spark, sf_dir):
     return retrieve.as_chunk(table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("id"), F.col("source").alias("doc_id"), "text"))
 
 
+@query()
+def rag_answers(spark, sf_dir):
+    """Every dialog against every document: intent, hybrid search, neighbours, judge, context and answer."""
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("id"), F.col("doc_id").cast("string").alias("doc_id"), F.concat_ws("/", "source", "doc_id").alias("path"), F.lit(0).alias("order"), "text", embed.dense(F.col("text")).alias("full"))
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    p = embed.postings_of(d.select("id", embed.sparse(F.col("text")).alias("keywords")))
+    return rag.answer(c, d, p, RetrievalConfig(top_k=3)).answers
+
+
 # --- dialogs ---------------------------------------------------------------------------------------------
 
 @query("""
-WITH c AS (SELECT conv_id, count(*) AS n, min(text) AS sole, string_agg(CASE role WHEN 'user' THEN 'User: ' || text WHEN 'assistant' THEN 'Assistant: ' || text END, chr(10) ORDER BY turn) AS dialog FROM conversations GROUP BY conv_id)
+WITH c AS (SELECT conv_id, count(*) AS n, min(text) AS sole, string_agg(CASE role WHEN 'user' THEN 'User: ' || t WHEN 'assistant' THEN 'Assistant: ' || t END, chr(10) ORDER BY turn) AS dialog FROM (SELECT *, regexp_replace(coalesce(text, ''), '^\\s+|\\s+$', '', 'g') AS t FROM conversations) GROUP BY conv_id)
 SELECT conv_id, md5(regexp_replace(CASE WHEN n = 1 THEN sole ELSE coalesce(dialog, '') END, '^\\s+|\\s+$', '', 'g')) AS intent_md5 FROM c""")
 def intent_dialog(spark, sf_dir):
     i = dialog.intent(table(spark, sf_dir, "conversations"), lambda d: chunk.complete(d))
@@ -472,6 +548,15 @@ def wiki_documents(spark, sf_dir):
     return readers.wiki_documents(p.select(json.alias("json"))).select(F.col("id").cast("bigint").alias("page_id"), "path", "text", "size", "creator")
 
 
+@query()
+def wiki_page_text(spark, sf_dir):
+    """The table's whole pages as a wiki's bodies."""
+    p = table(spark, sf_dir, "pages")
+    body = F.struct(F.struct(F.col("html").alias("value")).alias("view"))
+    json = F.to_json(F.struct(F.col("page_id").cast("string").alias("id"), F.col("url").alias("title"), F.struct(F.lit("W").alias("key")).alias("space"), body.alias("body"), F.struct(F.struct(F.lit("2024-01-15T10:00:00Z").alias("when")).alias("lastUpdated")).alias("history")))
+    return readers.wiki_documents(p.select(json.alias("json"))).select(F.col("id").cast("bigint").alias("page_id"), "path", "text", "size")
+
+
 @query("SELECT doc_id FROM documents WHERE (doc_id % 10 = 3 OR doc_id = 4) AND doc_id % 4 <> 1 AND doc_id <> 8")
 def source_predicate(spark, sf_dir):
     d = table(spark, sf_dir, "documents")

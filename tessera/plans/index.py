@@ -8,36 +8,54 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.config import IndexConfig
-from tessera.functions import point_id
 from tessera.operators import store
-from tessera.operators.chunk import Complete, complete, context_prompt, model_chunks, number_chunks
-from tessera.operators.embed import Embed, dense, dense_text, hashed_embedding
-from tessera.operators.split import parts, recursive
+from tessera.operators.chunk import Complete, complete, context_prompt, model_chunks, number_parts
+from tessera.operators.embed import Embed, Weigh, counted_words, dense, dense_text, hashed_embedding, metadata_payload, sparse
+from tessera.operators.split import Counter, Splitter, count_tokens, packed, parts, recursive
 
 
 @dataclass
 class Indexer:
-    """documents and chunks are the stored tables; models are injected."""
+    """documents and chunks are the stored tables; models, the token counter and the chain of splitters are injected.
+
+    document_steps see the documents that are new or changed, after that is decided; chunk_steps see the chunks and their documents.
+    """
 
     config: IndexConfig = field(default_factory=IndexConfig)
     embed: Embed = hashed_embedding
+    weigh: Weigh = counted_words
     model: Complete | None = None
+    count: Counter = count_tokens
+    splitters: list[Splitter] | None = None
     document_steps: list = field(default_factory=list)
     chunk_steps: list = field(default_factory=list)
 
     def chunk(self, docs: DataFrame) -> DataFrame:
-        limit = self.config.safe_limit
+        """Chunks with their dense vector `full`, sparse vector `keywords` and payload."""
+        limit, count, splitters = self.config.safe_limit, self.count, self.splitters
         model = self.model
-        blocks: Column = parts(lambda t: recursive(t, limit), F.coalesce("text", F.lit("")))
-        rows = number_chunks(docs.withColumnRenamed("id", "doc_id"), blocks, limit)
+
+        def cut(text: str) -> list[str]:
+            return ["\n\n".join(p) for p in packed(recursive(text, limit, count, splitters=splitters), limit, count)]
+
+        texts: Column = parts(cut, F.coalesce("text", F.lit("")))
         if self.config.chunker == "llm" and model:
-            cut = rows.withColumn("__c", model_chunks(F.col("text"), model)).groupBy("doc_id", "path", "updated_at").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("order", "__c"))), lambda x: x["__c"])).alias("__t"))
-            many = cut.select("doc_id", "path", "updated_at", F.size("__t").alias("total"), F.posexplode("__t").alias("order", "text"))
-            rows = many.select(point_id(F.concat_ws("#", "doc_id", "order")).alias("id"), "doc_id", "path", "order", "total", "text", F.lit("").alias("context"), "updated_at")
+            asked = docs.withColumn("__b", texts).select("*", F.posexplode("__b").alias("__n", "__t")).drop("__b")
+            answered = asked.select("id", "__n", model_chunks(F.col("__t"), model).alias("__c"))
+            own = answered.groupBy("id").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("__n", "__c"))), lambda x: x["__c"])).alias("__t"))
+            rows = number_parts(docs.join(own, "id").withColumnRenamed("id", "doc_id"), F.col("__t"))
+        else:
+            rows = number_parts(docs.withColumnRenamed("id", "doc_id"), texts)
         if self.config.context == "llm" and model:
             whole = docs.select(F.col("id").alias("doc_id"), F.col("text").alias("__doc"))
             rows = rows.join(whole, "doc_id").withColumn("context", complete(context_prompt(F.col("__doc"), F.col("text")), model, "")).drop("__doc")
-        rows = rows.withColumn("full", dense(dense_text(), self.embed))
+        have = lambda c, kind: F.col(c).cast(kind) if c in docs.columns else F.lit(None).cast(kind)
+        about = docs.select(F.col("id").alias("doc_id"), metadata_payload(have("creator", "string"), have("created_at", "timestamp")).alias("payload"))
+        if {"creator", "created_at"} & set(docs.columns):
+            rows = rows.join(about, "doc_id")
+        else:
+            rows = rows.withColumn("payload", F.lit("{}"))
+        rows = rows.withColumn("full", dense(dense_text(), self.embed)).withColumn("keywords", sparse(F.col("text"), self.weigh))
         for step in self.chunk_steps:
             rows = step(rows, docs)
         return rows
@@ -45,12 +63,13 @@ class Indexer:
     def run(self, source: DataFrame, documents: DataFrame, chunks: DataFrame, prune: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
         """actions, documents and chunks after indexing. Of several rows with one id the latest counts."""
         source = store.latest(source, "id", [F.col("updated_at"), F.col("size")])
-        for step in self.document_steps:
-            source = step(source)
         todo = store.actions(source, documents, chunks)
         changed = source.join(todo.filter("action <> 'skip'").select("id"), "id", "left_semi")
+        ids = changed.select("id")
+        for step in self.document_steps:
+            changed = step(changed)
         docs = store.upsert(documents, changed.withColumn("indexed_at", F.current_timestamp()))
-        kept = store.delete(chunks, changed.select(F.col("id").alias("doc_id")), "doc_id")
+        kept = store.delete(chunks, ids.select(F.col("id").alias("doc_id")), "doc_id")
         if prune:
             docs = store.lookup(docs, source)
             kept = kept.join(source.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")

@@ -26,6 +26,7 @@ class _Markdown(HTMLParser):
         self.cell: int | None = None
         self.heads = 0
         self.pre = 0
+        self.code = 0
 
     def gap(self, n: int = 2) -> None:
         text = "".join(self.out[-3:])
@@ -63,6 +64,7 @@ class _Markdown(HTMLParser):
         elif tag in ("i", "em"):
             self.out.append("*")
         elif tag == "code" and not self.pre:
+            self.code += 1
             self.out.append("`")
         elif tag == "pre":
             self.gap()
@@ -87,7 +89,7 @@ class _Markdown(HTMLParser):
             said = alt
         if said.strip():
             self.gap()
-            self.out.append(f"[Изображение: {said.strip()}]")
+            self.out.append(f"[Изображение: {escaped(said.strip())}]")
             self.gap()
 
     def handle_endtag(self, tag):
@@ -103,6 +105,7 @@ class _Markdown(HTMLParser):
         elif tag in ("i", "em"):
             self.out.append("*")
         elif tag == "code" and not self.pre:
+            self.code = max(0, self.code - 1)
             self.out.append("`")
         elif tag == "pre" and self.pre:
             self.pre -= 1
@@ -136,7 +139,12 @@ class _Markdown(HTMLParser):
         text = re.sub(r"\s+", " ", data)
         if text == " " and (not self.out or self.out[-1].endswith("\n")):
             return
-        self.out.append(text)
+        self.out.append(text if self.code else escaped(text))
+
+
+def escaped(text: str) -> str:
+    """Text whose stars and underscores are not marks."""
+    return re.sub(r"([*_])", r"\\\1", text)
 
 
 def to_markdown(html: str | None, describe: Describe | None = None) -> str:

@@ -4,31 +4,25 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
-from tessera.operators.store import replace_path
+from tessera.operators.store import Current
 from tessera.plans.index import Indexer
 
 
-class Tables:
-    """The current versions of the two tables; a batch writes new ones beside them and then switches."""
+def index_stream(source: DataFrame, base: str, indexer: Indexer, checkpoint: str, after: Callable[[int], None] | None = None) -> StreamingQuery:
+    """Indexes a stream of documents into the tables below `base`; what is there now is read, then the query ends.
 
-    def __init__(self, spark: SparkSession, base: str, documents: DataFrame, chunks: DataFrame) -> None:
-        self.spark, self.base = spark, base
-        self.documents, self.chunks = documents, chunks
-
-    def apply(self, indexer: Indexer, batch: DataFrame) -> None:
-        _, docs, chunks = indexer.run(batch, self.documents, self.chunks)
-        new_docs, new_chunks = replace_path(docs, f"{self.base}/documents"), replace_path(chunks, f"{self.base}/chunks")
-        self.documents, self.chunks = self.spark.read.parquet(new_docs), self.spark.read.parquet(new_chunks)
-
-
-def index_stream(source: DataFrame, tables: Tables, indexer: Indexer, checkpoint: str, after: Callable[[int], None] | None = None) -> StreamingQuery:
-    """Indexes a stream of documents; what is there now is read, then the query ends."""
+    The number of the stream's last batch is part of the pointer to the tables' versions, so after a restart a batch that was
+    already applied is left out, and one that wasn't finds the tables as they were.
+    """
 
     def batch(rows: DataFrame, number: int) -> None:
-        tables.apply(indexer, rows)
+        now = Current.read(rows.sparkSession, base)
+        if number > now.batches.get(checkpoint, -1):
+            _, docs, chunks = indexer.run(rows, now.documents, now.chunks)
+            now.replace(docs, chunks, **{checkpoint: number})
         if after:
             after(number)
 

@@ -25,13 +25,17 @@ def test_dialogs_are_answered(spark):
     chunks = spark.createDataFrame(rows, "id string, doc_id string, path string, `order` int, text string").withColumn("full", dense(F.col("text")))
     words = chunks.select("id", F.explode(F.split("text", " ")).alias("tok"), F.lit(1.0).alias("w"))
     talk = spark.createDataFrame([(1, 0, "user", "sleep"), (2, 0, "user", "trains"), (2, 1, "assistant", "which"), (2, 2, "user", "run")], "conv_id int, turn int, role string, text string")
-    judge = lambda p: "0" if "trains" in p.split("Text:")[1] else "1 | cats"
+    judge = lambda p: "0" if "trains" in p.split("Text:")[1].split("Context:")[0] else "1 | cats"
     got = rag.answer(talk, chunks, sparse_rows(words, "id"), RetrievalConfig(top_k=1), judge=judge)
     kept = sorted((r["query"], r["doc_id"], r["order"], r["comment"], r["name"]) for r in got.chunks.collect())
     assert kept == [(1, "d", 0, "cats", "x.md"), (1, "d", 1, "cats", "x.md")]
     answers = {r["conv_id"]: r["answer"] for r in got.answers.collect()}
-    assert answers[2] == rag.NOTHING and "[0] d/x.md\ncats sleep\n\n[1] d/x.md\ncats eat" in answers[1]
-    assert all(json.loads(r["event"])["event"]["type"] == "citation" for r in got.events.collect())
+    assert answers[2] == rag.NOTHING and "[0] d/x.md\nAbout: \nText: cats sleep\nAs of: \n\n[1] d/x.md\nAbout: \nText: cats eat" in answers[1]
+    said = [(r["conv_id"], r["n"], json.loads(r["event"])["event"]["type"]) for r in got.events.orderBy("conv_id", "n").collect()]
+    assert said == [(1, 0, "status"), (1, 1, "status"), (1, 2, "status"), (1, 3, "citation"), (1, 4, "citation"), (2, 0, "status"), (2, 1, "status"), (2, 2, "status")]
+    told = list(rag.pipe(talk, 1, chunks, sparse_rows(words, "id"), lambda prompt: iter(["a", "b"]), config=RetrievalConfig(top_k=1), judge=judge))
+    assert told[2:6] == ["<think>", "[x.md]: ✔ cats\n", "[x.md]: ✔ cats\n", "</think>"] and told[-2:] == ["a", "b"] and len(told) == 11
+    assert list(rag.pipe(talk, 2, chunks, sparse_rows(words, "id"), iter, config=RetrievalConfig(top_k=1), judge=judge))[-1] == rag.NOTHING
 
 
 def test_sql_functions(spark):
