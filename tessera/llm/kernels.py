@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE = 2 << 20
+SLICE, KEEP = (1 << 20) - (1 << 12), 1 << 21
 GOLD, MIX1, MIX2, BASE = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0x100000001B3))
 
 IS_WORD = np.zeros(256, bool)
@@ -31,14 +31,18 @@ def salt(k: int) -> np.uint64:
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of BASE and of its inverse modulo 2**64, n of each at least."""
-    if len(_powers["up"]) < n:
-        size = 1 << (n - 1).bit_length()
-        for name, base in (("up", BASE), ("down", np.uint64(pow(int(BASE), -1, 1 << 64)))):
-            steps = np.full(size, base, np.uint64)
-            steps[0] = 1
-            _powers[name] = np.cumprod(steps, dtype=np.uint64)
-    return _powers["up"], _powers["down"]
+    """Powers of BASE and of its inverse modulo 2**64, n of each at least; up to KEEP of each are kept for the next call."""
+    if len(_powers["up"]) >= n:
+        return _powers["up"], _powers["down"]
+    size = 1 << (n - 1).bit_length()
+    made = {}
+    for name, base in (("up", BASE), ("down", np.uint64(pow(int(BASE), -1, 1 << 64)))):
+        steps = np.full(size, base, np.uint64)
+        steps[0] = 1
+        made[name] = np.cumprod(steps, dtype=np.uint64)
+    if size <= KEEP:
+        _powers.update(made)
+    return made["up"], made["down"]
 
 
 def flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

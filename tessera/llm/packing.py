@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import read_table, stage, text_col
 
-LIMIT, CACHE = 2048, 400_000
+LIMIT, CACHE = 2048, 150_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 #: Letters, numbers and white space below U+0250, as Unicode has them.
