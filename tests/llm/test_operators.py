@@ -297,6 +297,36 @@ def test_neighbours(spark):
     assert ann.search(few.filter("false"), few.filter("false")).count() == 0
 
 
+def test_the_index_reads_a_part_of_the_rows_and_finds_most(spark, monkeypatch):
+    """Recall, what is met in the files and what is reranked, counted on the whole table of a middle size."""
+    v = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    met, reranked = [], []
+    read, rank = ann.read_files, ann.rerank
+    monkeypatch.setattr(ann, "read_files", lambda files, ids, orders, cut, *a: met.append((read(files, ids, orders, cut + (1 << 29), *a[:-1], 1 << 30).count(), len(ids))) or read(files, ids, orders, cut, *a))
+    monkeypatch.setattr(ann, "rerank", lambda found, *a: reranked.append(found.count()) or rank(found, *a))
+    got = ann.search(v, v.filter("vec_id % 50 = 0")).collect()
+    rows = ann.usable(v).collect()
+    ids, m = np.array([r["vec_id"] for r in rows]), ann.unit(np.array([r["vec"] for r in rows]))
+    mine = collections.defaultdict(set)
+    for x in got:
+        mine[x["query_id"]].add(x["vec_id"])
+    hits = 0
+    for q in mine:
+        s = m @ m[np.flatnonzero(ids == q)[0]]
+        s[ids == q] = -9
+        hits += len(mine[q] & set(ids[np.lexsort((ids, -s))[:5]].tolist()))
+    assert hits >= 0.9 * 5 * len(mine)
+    assert met[0][0] < 0.45 * len(rows) * met[0][1] and reranked[0] < 0.25 * len(rows) * met[0][1]
+
+
+def test_queries_whose_files_are_nearly_empty_read_all_files(spark, monkeypatch):
+    monkeypatch.setattr(ann, "shape", lambda n: (40, 1, 1, 30))
+    r = np.random.default_rng(5)
+    df = spark.createDataFrame([(i, v.tolist(), "x", 1) for i, v in enumerate(r.normal(size=(300, 8)))], "vec_id long, embedding array<double>, pivot string, rank int")
+    got = collections.Counter(x["query_id"] for x in ann.search(df, df.filter("vec_id % 50 = 0")).collect())
+    assert got == {q: 5 for q in range(0, 300, 50)}
+
+
 # --- op7 ---------------------------------------------------------------------------------------------
 
 def test_licences(spark):
