@@ -1,8 +1,13 @@
 """Licence scans by sentence rules.
 
-A text is unwrapped and cut into paragraphs of normalised sentences; each place in a paragraph where a known licence sentence
-opens gets its identifier, whatever full stops or semicolons the opening has inside; the sequence of identifiers is then matched against ordered rules, longest first, and each
-match names a licence. Identifiers that no rule takes leave "unmatched" in the result.
+A text is cut into sentences; each is normalised to plain words, and its first words are looked up in a table of the openings of known licence
+sentences, whose identifier it gets. The sequence of identifiers is then matched against ordered rules, longest first, and each match
+names a licence. Identifiers that no rule takes leave "unmatched" in the result.
+
+A sentence begins with a text, a line (behind comment signs) or behind a full stop, colon, semicolon, question or exclamation mark; it ends before the
+next full stop, question or exclamation mark and at an empty line. A line's end doesn't end it, nor do a semicolon, whose second part may be known
+by itself, or the stop of an abbreviation such as "v. 2.0".
+Sentences whose first word opens no known one are passed over before they are normalised; nothing else is.
 
 Defined results: a null or empty text, or one without known sentences, has no licences (an empty list); repeated sentences
 give repeated identifiers but one licence; repeated rows give repeated rows; an empty table gives an empty table; a null
@@ -19,45 +24,54 @@ from pyspark.sql import functions as F
 
 from .common import read_table, text_col
 
-#: Openings of licence sentences as the licences word them, normalised (lower case, letters, digits, dots and blanks).
-#: An opening stands for the sentence that starts with it; {v} stands for a version, which joins the identifier. A blank may be
-#: the end of a sentence, as in "v. 2.0"; $ is one.
+#: Openings of licence sentences as the licences word them, normalised: lower case, licence as license, words of letters and digits
+#: alone, # for a number with dots. A bar parts wordings of one place, and - is none. What follows "..." has to come later in the sentence,
+#: $ ends it. {v} is the sentence's first number, {k} what stands in its place.
 SENTENCES: list[tuple[str, str]] = [
-    ("MIT-name", r"(?:released|licensed|distributed|available|published) under (?:the )?(?:terms of the )?mit licen[sc]e"),
-    ("MIT-title", r"(?:the )?mit licen[sc]e(?: mit)?$"),
-    ("MIT-permission", r"permission is hereby granted free of charge to any person obtaining a copy of this software"),
-    ("MIT-notice", r"the above copyright notice and this permission notice shall be included in all copies"),
-    ("ISC-permission", r"permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
-    ("AS-IS", r"the software is provided as is without warranty of any kind"),
-    ("AS-IS", r"the software is provided as is and the author disclaims all warranties"),
-    ("LIABILITY", r"in no event shall the (?:authors|author|copyright holders|copyright holder|copyright owner|regents)"),
-    ("Apache-name-{v}", r"licensed under the apache licen[sc]e,? version {v}"),
-    ("Apache-name-{v}", r"(?:released|distributed|available) under (?:the )?(?:terms of the )?apache licen[sc]e,? (?:version )?{v}"),
-    ("Apache-use", r"you may not use this file except in compliance with the licen[sc]e"),
-    ("Apache-copy", r"you may obtain a copy of the licen[sc]e at"),
-    ("Apache-basis", r"unless required by applicable law or agreed to in writing software distributed under the licen[sc]e is distributed on an as is basis"),
-    ("Apache-see", r"see the licen[sc]e for the specific language governing permissions"),
-    ("GPL-name-{v}", r"(?:this work is |this program is |this software is )?(?:licensed|released|distributed) under (?:the )?(?:terms of the )?gnu general public licen[sc]e,? (?:version |v){v}"),
-    ("LGPL-name-{v}", r"(?:this work is |this program is |this library is )?(?:licensed|released|distributed) under (?:the )?(?:terms of the )?gnu (?:lesser|library) general public licen[sc]e,? (?:version |v){v}"),
-    ("AGPL-name-{v}", r"(?:this work is |this program is )?(?:licensed|released|distributed) under (?:the )?(?:terms of the )?gnu affero general public licen[sc]e,? (?:version |v){v}"),
-    ("GPL-free-{v}", r"this (?:program|library) is free software you can redistribute it and or modify it under the terms of the gnu general public licen[sc]e.*?version {v}"),
-    ("LGPL-free-{v}", r"this (?:program|library) is free software you can redistribute it and or modify it under the terms of the gnu (?:lesser|library) general public licen[sc]e.*?version {v}"),
-    ("AGPL-free-{v}", r"this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public licen[sc]e.*?version {v}"),
-    ("GPL-warranty", r"this (?:program|library) is distributed in the hope that it will be useful"),
-    ("GPL-copy", r"you should have received a copy of the gnu (?:lesser |affero )?general public licen[sc]e"),
-    ("BSD-redistribution", r"redistribution and use in source and binary forms with or without modification are permitted"),
-    ("BSD-source", r"redistributions of source code must retain the above copyright notice"),
-    ("BSD-binary", r"redistributions in binary form must reproduce the above copyright notice"),
-    ("BSD-endorse", r"neither the name of .*? may be used to endorse or promote products"),
-    ("BSD-as-is", r"this software is provided by the .*? as is and any express or implied warranties"),
-    ("MPL-name-{v}", r"this source code form is subject to the terms of the mozilla public licen[sc]e v\.? ?{v}"),
-    ("MPL-copy", r"if a copy of the mpl was not distributed with this file"),
-    ("CC-name-{k}-{v}", r"(?:this work is )?licensed under (?:a |the )?(?:cc|creative commons) (?P<k>by(?: (?:nc|sa|nd))*) (?P<v>\d(?:\.\d)?)"),
-    ("CC0", r"(?:cc0 1\.0 universal|dedicated to the public domain)"),
-    ("Unlicense", r"this is free and unencumbered software released into the public domain"),
-    ("SPDX-{k}", r"spdx licen[sc]e identifier (?P<k>[a-z0-9.+\x20]+)$"),
+    ("MIT-name", "released|licensed|distributed|available|published under the|- mit license"),
+    ("MIT-name", "released|licensed|distributed|available|published under the|- terms of the mit license"),
+    ("MIT-title", "the|- mit license $"),
+    ("MIT-permission", "permission is hereby granted free of charge to any person obtaining a copy of this software"),
+    ("MIT-notice", "the above copyright notice and this permission notice shall be included in all copies"),
+    ("ISC-permission", "permission to use copy modify and|- or|- distribute this software for any purpose with or without fee is hereby granted"),
+    ("AS-IS", "the software is provided as is without warranty of any kind"),
+    ("AS-IS", "the software is provided as is and the author disclaims all warranties"),
+    ("LIABILITY", "in no event shall the authors|author|copyright|regents"),
+    ("Apache-name-{v}", "licensed|released|distributed|available under the|- apache license version|- #"),
+    ("Apache-name-{v}", "licensed|released|distributed|available under the|- terms of the apache license version|- #"),
+    ("Apache-use", "you may not use this file except in compliance with the license"),
+    ("Apache-copy", "you may obtain a copy of the license at"),
+    ("Apache-basis", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis"),
+    ("Apache-see", "see the license for the specific language governing permissions"),
+    ("GPL-name-{v}", "this|- work|program|software|- is|- licensed|released|distributed under the|- gnu general public license version|v|- #"),
+    ("GPL-name-{v}", "this|- work|program|software|- is|- licensed|released|distributed under the|- terms of the gnu general public license version|v|- #"),
+    ("LGPL-name-{v}", "this|- work|program|library|- is|- licensed|released|distributed under the|- gnu lesser|library general public license version|v|- #"),
+    ("LGPL-name-{v}", "this|- work|program|library|- is|- licensed|released|distributed under the|- terms of the gnu lesser|library general public license version|v|- #"),
+    ("AGPL-name-{v}", "this|- work|program|- is|- licensed|released|distributed under the|- gnu affero general public license version|v|- #"),
+    ("AGPL-name-{v}", "this|- work|program|- is|- licensed|released|distributed under the|- terms of the gnu affero general public license version|v|- #"),
+    ("GPL-free-{v}", "this program|library is free software you can redistribute it and or|- modify it under the terms of the gnu general public license ... version #"),
+    ("LGPL-free-{v}", "this program|library is free software you can redistribute it and or|- modify it under the terms of the gnu lesser|library general public license ... version #"),
+    ("AGPL-free-{v}", "this program is free software you can redistribute it and or|- modify it under the terms of the gnu affero general public license ... version #"),
+    ("GPL-warranty", "this program|library is distributed in the hope that it will be useful"),
+    ("GPL-copy", "you should have received a copy of the gnu lesser|affero|- general public license"),
+    ("BSD-redistribution", "redistribution and use in source and binary forms with or without modification are permitted"),
+    ("BSD-source", "#|- redistributions of source code must retain the above copyright notice"),
+    ("BSD-binary", "#|- redistributions in binary form must reproduce the above copyright notice"),
+    ("BSD-endorse", "#|- neither the name of ... may be used to endorse or promote products"),
+    ("BSD-as-is", "this software is provided by the ... as is and any express or implied warranties"),
+    ("MPL-name-{v}", "this source code form is subject to the terms of the mozilla public license v #"),
+    ("MPL-copy", "if a copy of the mpl was not distributed with this file"),
+    ("CC-name-{k}-{v}", "this|- work|- is|- licensed under a|the|- cc|creative by {k} #"),
+    ("CC-name-{k}-{v}", "this|- work|- is|- licensed under a|the|- creative commons by {k} #"),
+    ("CC0", "cc0 # universal"),
+    ("CC0", "dedicated to the public domain"),
+    ("Unlicense", "this is free and unencumbered software released into the public domain"),
+    ("SPDX-{k}", "spdx license identifier {k} $"),
 ]
 
+#: What {k} stands for in names of the Creative Commons family.
+KINDS = ("by", "by nc", "by sa", "by nd", "by nc sa", "by nc nd")
+
 #: Identifier sequences that make up a licence. A name ending in ? may be missing; {v} is the same throughout.
 RULES: list[tuple[str, str]] = [
     ("BSD-3-Clause", "BSD-redistribution BSD-source BSD-binary BSD-endorse BSD-as-is LIABILITY?"),
@@ -73,45 +87,81 @@ RULES: list[tuple[str, str]] = [
     ("CC-{v}", "CC-name-{v}"), ("CC0-1.0", "CC0"), ("Unlicense", "Unlicense"), ("{v}", "SPDX-{v}"),
 ]
 
-#: A text with a known sentence has one of these.
-HINTS = ("license", "licence", "permission", "redistribut", "provided", "domain", "cc0", "mpl", "event", "hope", "endorse")
-COMMENT = re.compile(r"^[ \t]*(?://+|/?\*+/?|#+|--+|;+|%+|<!--|REM\b)?[ \t]*", re.M)
-SPDX = re.compile(r"(spdx-licen[sc]e-identifier:[^\n]*)", re.I)
-KNOWN = [(name, re.compile(text.replace(" ", "[ \n]").replace("{v}", r"(?P<v>\d+(?:\.\d+)*)"), re.M | re.S)) for name, text in SENTENCES]
-ANY = re.compile(r"(?<![^ \n])(?:" + "|".join(f"(?:{re.sub(r'[(][?]P<.>', '(?:', p.pattern)})" for _, p in KNOWN) + ")", re.M | re.S)
+COMMENT = r"[ \t]*(?://+|/?\*+/?|#+|--+|;+|%+|<!--|REM\b)?[ \t]*"
+
+
+def wordings(text: str) -> list[tuple[str, ...]]:
+    """Every wording of an opening."""
+    out: list[tuple[str, ...]] = [()]
+    for word in text.split():
+        out = [o + (() if w == "-" else (w,)) for o in out for w in word.split("|")]
+    return out
+
+
+def openings() -> dict[tuple[str, ...], tuple[str, tuple[str, ...], bool]]:
+    """Of each opening: identifier, words that have to follow somewhere, whether the sentence ends with it."""
+    out = {}
+    for name, text in SENTENCES:
+        start, _, later = text.partition(" ... ")
+        for kind in KINDS if " by {k} " in start else [""]:
+            for words in wordings(start.replace("by {k}", kind)):
+                ends = words[-1] == "$"
+                out.setdefault(tuple(w for w in words if w not in ("$", "{k}")), (name.replace("{k}", kind.replace(" ", "-")) if kind else name, tuple(later.split()), ends))
+    return out
 
 
-def normalised(sentence: str) -> str:
-    """Lower case, letters, digits and dots inside numbers or at a blank, single blanks."""
-    return re.sub(r"\s+", " ", re.sub(r"[^a-z0-9.+]+", " ", sentence.lower())).strip(" .")
+KNOWN = openings()
+SIZES = sorted({len(k) for k in KNOWN}, reverse=True)
+FIRST = "|".join(sorted({k[0].replace("license", "licen[sc]e").replace("#", r"\d") for k in KNOWN}, key=len, reverse=True))
+#: Where a sentence begins whose first word opens a known one.
+START = re.compile(rf"(?:\A|\n|(?<=[.!?:;])\s){COMMENT}\W*(?=(?:{FIRST})\b)", re.I)
+END = re.compile(r"(?<!\bv)[.!?](?=\s|\Z)|\n[ \t]*(?=\n)", re.I)
+LINE = re.compile(rf"\n{COMMENT}")
+WORD = re.compile(r"\d+(?:\.\d+)*|[a-z][a-z0-9]*|\d")
 
 
-def paragraphs(text: str) -> list[str]:
-    """Paragraphs of a text, a normalised sentence a line: comment signs at line starts go, lines are joined, full stops before blanks and the ends of SPDX lines end a sentence."""
-    out = []
-    for paragraph in re.split(r"\n\s*\n", COMMENT.sub("", text)):
-        found = [normalised(x) for x in re.split(r"(?<=[.!?;])\s+", SPDX.sub(r"\1;", paragraph))]
-        out.append("\n".join(x for x in found if x))
-    return [x for x in out if x]
+def normalised(sentence: str) -> tuple[list[str], list[str]]:
+    """Words of a sentence, # for each number, and the numbers."""
+    words, numbers = [], []
+    for w in WORD.findall(sentence.lower().replace("licence", "license")):
+        if w[0].isdigit():
+            numbers.append(w)
+            w = "#"
+        words.append(w)
+    return words, numbers
 
 
 def identifiers(text: str | None) -> list[str]:
     """Identifiers of the known sentences of a text, in order."""
-    low = (text or "").lower()
-    if not any(h in low for h in HINTS):
-        return []
-    out = []
-    for s in paragraphs(text):
-        at = 0
-        while m := ANY.search(s, at):
-            for name, pattern in KNOWN:
-                if hit := pattern.match(s, m.start()):
-                    values = {k: "-".join(v.split()) for k, v in hit.groupdict().items()}
-                    out.append(name.format(**values) if values else name)
-                    at = max(hit.end(), m.start() + 1)
-                    break
-            else:
-                at = m.start() + 1
+    out, done = [], 0
+    for m in START.finditer(text or ""):
+        if m.end() < done:
+            continue  # inside an SPDX line
+        spdx = text[m.end() : m.end() + 5].lower() == "spdx-"
+        stop = re.compile(r"\n|\Z").search(text, m.end()) if spdx else END.search(text, m.end())
+        end = stop.start() if stop else len(text)
+        sentence = text[m.end() : end]
+        if spdx:
+            value = sentence.partition(":")[2].strip(" \t*/->")
+            if sentence.lower().replace("licence", "license").startswith("spdx-license-identifier:") and value:
+                out.append("SPDX-" + "-".join(re.findall(r"[a-z0-9.+]+", value.lower())))
+                done = end
+            continue
+        words, numbers = normalised(LINE.sub(" ", sentence))
+        for n in SIZES:
+            found = KNOWN.get(tuple(words[:n])) if n <= len(words) else None
+            if not found:
+                continue
+            name, later, ends = found
+            rest = words[n:]
+            if ends and rest or later and not any(tuple(rest[i : i + len(later)]) == later for i in range(len(rest))):
+                continue
+            if "{v}" in name:
+                # the number of the opening, or the one behind what has to follow
+                at = n if not later else n + next(i for i in range(len(rest)) if tuple(rest[i : i + len(later)]) == later) + len(later)
+                name = name.replace("{v}", numbers[words[:at].count("#") - 1])
+            out.append(name)
+            break
     return out
 
 
