@@ -173,22 +173,32 @@ def media_features(store: DataFrame) -> DataFrame:
 def resolve(items: DataFrame, store: DataFrame) -> DataFrame:
     """Items with the columns of the store's row of the same digest; text items and unknown digests get nulls.
 
-    The store is brought to one row per digest before the join, so a digest that a third
-    of all items name is one row on that side, and AQE splits the other side.
+    The store is brought to one row per digest before the join, the least of several, so a digest that a third
+    of all items name is one row on that side, and AQE splits the other side. Items without a digest stay out of the join.
     """
     rest = [c for c in store.columns if c != "digest"]
-    one = store.groupBy("digest").agg(F.first(F.struct(*rest)).alias("media_row"))
-    return items.join(one, "digest", "left").select(*[items[c] for c in items.columns], *[F.col("media_row")[c].alias(c) for c in rest])
+    one = store.groupBy("digest").agg(F.min(F.struct(*rest)).alias("media_row"))
+    named = items.filter("digest IS NOT NULL")
+    found = named.join(one, "digest", "left").select(*[named[c] for c in items.columns], *[F.col("media_row")[c].alias(c) for c in rest])
+    return found.unionByName(items.filter("digest IS NULL").select("*", *[F.lit(None).cast(store.schema[c].dataType).alias(c) for c in rest]))
+
+
+def document_pages(base: DataFrame) -> DataFrame:
+    """owner, html: every document as a page of text and two captioned references to its payload, one behind the text and one at the end."""
+    ref = lambda caption: F.concat(F.lit('<figure><img src="sha256:'), "digest", F.lit(f'"><figcaption>{caption} '), F.coalesce(F.col("doc_id").cast("string"), F.lit("?")), F.lit("</figcaption></figure>"))
+    said = F.concat(F.lit("<p>"), F.octet_length("text").cast("string"), F.lit(" bytes</p>"))
+    owner = F.struct("doc_id", F.octet_length("text").cast("long").alias("n_bytes")).alias("owner")
+    return base.select(owner, F.concat(F.lit("<article>"), said, ref("document"), F.lit("<p>the same again</p>"), ref("copy of"), F.lit("</article>")).alias("html"))
 
 
 def document_media(docs: DataFrame) -> DataFrame:
-    """Every document as a page with one captioned reference to its text as a payload, resolved."""
+    """Every document's first reference with what its stored payload reads back as.
+
+    Payloads are encoded and decoded where the documents lie, copies included, so that no payload is shuffled; only
+    features are, and of these one row per digest is kept before the join.
+    """
     base = docs.select("doc_id", text_col().alias("text")).withColumn("payload", padded(F.col("text"))).withColumn("digest", F.sha2("payload", 256))
-    html = base.select(
-        F.struct("doc_id", F.octet_length("text").cast("long").alias("n_bytes")).alias("owner"),
-        F.concat(F.lit('<article><figure><img src="sha256:'), "digest", F.lit('"><figcaption>document '), F.coalesce(F.col("doc_id").cast("string"), F.lit("?")), F.lit("</figcaption></figure></article>")).alias("html"),
-    )
-    found = resolve(interleaved(html, "owner", "html").filter("kind = 'media'"), media_features(media_store(base)))
+    found = resolve(interleaved(document_pages(base), "owner", "html"), media_features(media_store(base))).filter("kind = 'media' AND pos = 1")
     return found.select("owner.doc_id", "owner.n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "pos", "caption")
 
 
