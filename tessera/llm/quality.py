@@ -179,8 +179,10 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> tuple
 
 
 def score(docs: DataFrame, model: tuple, keep: list[str] | None = None, name: str = "score") -> DataFrame:
-    """Adds the score of every row's whole text to the columns `keep` (default: all)."""
+    """Adds the score of every row's whole text, named `name`, to the columns `keep` (default: all); one of them of that name is an error."""
     keep = docs.columns if keep is None else keep
+    if name in keep:
+        raise ValueError(f"the table has a column {name} already")
     w, r, bias, slope, offset = model
     sent = docs.sparkSession.sparkContext.broadcast(((w * r).astype(np.float64), r * r))  # 2 ** BITS numbers each
     rows = docs.select(text_col().alias("__text"), *keep)
