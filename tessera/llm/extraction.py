@@ -254,13 +254,14 @@ def forward(p: dict, rows: np.ndarray, sizes: list[int], keep: tuple | None = No
     return hf @ p["o"][:HIDDEN] + hb @ p["o"][HIDDEN:] + p["ob"], mask, hf, hb
 
 
-def train(pages: list[list], labels: list[list[int]], passes: int = 10, batch: int = 24, rate: float = 0.01) -> dict[str, np.ndarray]:
+def train(pages: list[list], labels: list[list[int]], passes: int = 12, batch: int = 24, rate: float = 0.01) -> dict[str, np.ndarray]:
     p = begin()
     first, second = {k: np.zeros_like(v) for k, v in p.items()}, {k: np.zeros_like(v) for k, v in p.items()}
     some = [i for i in range(len(pages)) if pages[i]]
     rows = {i: vectors([pages[i]]) for i in some}
     pick, step = np.random.default_rng(3), 0
-    for _ in range(passes):
+    for turn in range(passes):
+        own_rate = rate * (1 - 0.9 * turn / passes)
         order = sorted(pick.permutation(some).tolist(), key=lambda i: len(pages[i]) // 8)
         groups = [order[a : a + batch] for a in range(0, len(order), batch)]
         for g in pick.permutation(len(groups)):
@@ -282,7 +283,7 @@ def train(pages: list[list], labels: list[list[int]], passes: int = 10, batch: i
             for k, gr in grad.items():
                 first[k] = 0.9 * first[k] + 0.1 * gr
                 second[k] = 0.999 * second[k] + 0.001 * gr * gr
-                p[k] = p[k] - rate * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-7)
+                p[k] = p[k] - own_rate * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-7)
     return p
 
 
@@ -306,22 +307,28 @@ def label(p: dict, pages: list[list]) -> list[np.ndarray]:
 
 #: Names of page parts for the grammar, as they are common on the web.
 ASIDE = {
-    "nav": "nav menu navbar breadcrumb topnav navigation links", "header": "header masthead banner top sitehead logo", "footer": "footer bottom copyright legal colophon",
-    "aside": "sidebar aside widget related popular rail recommended", "div": "ad ads advert sponsored promo banner cookie notice consent popup newsletter subscribe share social",
+    "nav": "nav menu navbar breadcrumb topnav navigation links topmenu", "header": "header masthead banner top sitehead logo", "footer": "footer bottom copyright legal colophon",
+    "aside": "sidebar aside widget related popular rail recommended leftcol rightcol side right left", "div": "ad ads advert sponsored promo banner cookie notice consent popup newsletter subscribe share social sharing",
     "form": "search login signup form contact", "section": "comments comment respond replies discussion reviews",
 }
-ARTICLE = "article content main post entry story body text article-body entry-content post-content page-content"
+ARTICLE = "article content main post entry story body text article-body entry-content post-content page-content maincol maincontent center"
 
 
 def made_page(r: random.Random) -> tuple[list, list[int]]:
-    """A page from the grammar, as blocks with labels."""
-    syllables = [a + b for a in "b c d f g l m n p r s t v th st er" .split() for b in "a e i o u an en or".split()]
-    word = lambda: "".join(r.choice(syllables) for _ in range(r.randint(1, 4)))
+    """A page from the grammar, as blocks with labels: a shell of named, unnamed or table cells, parts around an article, and parts within it."""
+    syllables = [a + b for a in "b c d f g l m n p r s t v th st er".split() for b in "a e i o u an en or".split()]
+    often = ["".join(r.choice(syllables) for _ in range(r.randint(1, 2))) for _ in range(r.choice([3, 8, 20]))]  # a page's own frequent words
+    usual = r.choice([0.0, 0.3, 0.6])
+    word = lambda: r.choice(often) if r.random() < usual else "".join(r.choice(syllables) for _ in range(r.randint(1, 4)))
     say = lambda a, b: (" ".join(word() for _ in range(r.randint(a, b))).capitalize() + r.choice([".", ".", ".", "", "!"]))
     out: list[tuple[tuple, str, int]] = []
     y: list[int] = []
     top = (("html", ""), ("body", r.choice(["", "", "home", "page"])))
     shell = top + r.choice([(), (), (("div", r.choice(["wrap", "container", "page", "site"])),)])
+    style = r.choice(["tags", "tags", "divs", "divs", "table"])  # what the page's parts are made of
+    if style == "table":
+        shell += (("table", r.choice(["", "layout"])), ("tr", ""))
+    plain = r.random() < 0.5 if style != "tags" else False  # paragraphs are divisions as well
 
     def add(path, text, linked, good):
         out.append((path, text, linked))
@@ -329,12 +336,20 @@ def made_page(r: random.Random) -> tuple[list, list[int]]:
 
     def part(kind: str, inside: tuple = ()) -> None:
         names = r.choice(ASIDE[kind].split())
-        tag = kind if r.random() < 0.6 else "div"
+        tag = "td" if style == "table" and not inside else "div" if style == "divs" or r.random() > 0.6 else kind
         path = (inside or shell) + ((tag, names if tag == "div" or r.random() < 0.5 else ""),)
         if kind in ("nav", "aside", "header", "footer") and r.random() < 0.75:
-            for _ in range(r.randint(2, 9)):
-                t = say(1, 3)
-                add(path + (("ul", ""), ("li", "")), t, len(t), 0)
+            heading = kind == "aside" and r.random() < 0.5
+            if heading:
+                add(path + ((r.choice(["h2", "h3", "h4", "div"]), ""),), say(1, 3), 0, 0)
+            listed = r.choice([(("ul", ""), ("li", "")), (("ul", ""), ("li", "")), (("div", ""),), ()]) if plain or style == "table" else (("ul", ""), ("li", ""))
+            if listed == ():
+                t = " ".join(say(1, 2).strip(".!") for _ in range(r.randint(2, 6)))
+                add(path, t, len(t), 0)
+            else:
+                for _ in range(r.randint(2, 9)):
+                    t = say(1, 4)
+                    add(path + listed, t, len(t), 0)
         else:
             for _ in range(r.randint(1, 6 if kind == "section" else 2)):
                 t = say(2, 40 if kind == "section" else 16)
@@ -344,43 +359,45 @@ def made_page(r: random.Random) -> tuple[list, list[int]]:
         part(kind)
     if r.random() < 0.95:
         name = r.choice(ARTICLE.split()).replace("-", " ")
-        tag = r.choice(["article", "article", "main", "div", "section"])
-        path = shell + r.choice([(), (("main", ""),)]) + ((tag, "" if tag in ("article", "main") and r.random() < 0.6 else name),)
+        tag = "td" if style == "table" else "div" if style == "divs" else r.choice(["article", "article", "main", "div", "section"])
+        path = shell + (r.choice([(), (("main", ""),)]) if style == "tags" else ()) + ((tag, "" if tag in ("article", "main") and r.random() < 0.6 else name),)
         if r.random() < 0.8:
-            add(path + (("h1", ""),), say(1, 10), 0, 1)
+            add(path + ((r.choice(["h1", "h1", "h1", "div" if plain else "h2"]), ""),), say(1, 10), 0, 1)
+        paragraph = r.choice([(("div", ""),), ()]) if plain and r.random() < 0.6 else (("p", ""),)
         for _ in range(r.choice([1, 2, 3, 5, 8, 14, 25])):
-            if r.random() < 0.06:
-                part(r.choice(["div", "form", "aside"]), path)
+            if r.random() < 0.08:
+                part(r.choice(["div", "div", "form", "aside"]), path)
             kind = r.random()
-            t = say(1, r.choice([2, 6, 20, 90]))
-            if kind < 0.82:
-                add(path + (("p", ""),), t, r.choice([0, 0, 0, len(t) // 5]), 1)
-            elif kind < 0.9:
+            t = say(1, r.choice([2, 6, 20, 90])) if paragraph else say(8, 90)
+            if kind < 0.8:
+                add(path + paragraph, t, r.choice([0, 0, 0, len(t) // 5]), 1)
+            elif kind < 0.87:
                 add(path + ((r.choice(["h2", "h3", "blockquote", "pre"]), ""),), t, 0, 1)
-            else:
+            elif kind < 0.94:
                 for _ in range(r.randint(1, 4)):
                     add(path + ((r.choice(["ul", "ol"]), ""), ("li", "")), say(1, 12), 0, 1)
+            else:
+                for i in range(r.randint(2, 5)):
+                    for _ in range(r.randint(2, 4)):
+                        add(path + (("table", r.choice(["", "data"])), ("tr", ""), ("th" if not i and r.random() < 0.7 else "td", "")), r.choice([say(1, 4), str(r.randint(1, 9999))]), 0, 1)
     for kind in r.sample(["footer", "footer", "aside", "section", "div", "form"], r.randint(1, 4)):
         part(kind)
     return out, y
 
 
-NOT_ARTICLE = re.compile(r"\b(?:ads?|advert|sponsored|promo|cookie|consent|notice|comments?|respond|share|social|newsletter|subscribe|sidebar|related|widget|nav|menu|breadcrumb)\b")
-
-
 def own_labels(page: list) -> list[int] | None:
-    """Labels of a page whose markup has exactly the elements that name an article, else None."""
+    """Labels of a page whose markup has the elements that name an article, else None: what these elements hold, apart from elements that are never part of one."""
     if not any(tag in ("article", "main") for path, _, _ in page for tag, _ in path):
         return None
     out = []
     for path, _, _ in page:
         tags = [tag for tag, _ in path]
-        inner = path[max((i for i, t in enumerate(tags) if t in ("article", "main")), default=len(path)) :]
-        out.append(int(bool(inner) and not any(t in ("nav", "aside", "footer", "form", "button", "select") or NOT_ARTICLE.search(n) for t, n in inner)))
+        inner = tags[max((i for i, t in enumerate(tags) if t in ("article", "main")), default=len(path)) :]
+        out.append(int(bool(inner) and not {"nav", "aside", "footer", "form", "button", "select"} & set(inner)))
     return out
 
 
-def fit(pages: DataFrame, sample: int = SAMPLE, made: int = 300) -> dict[str, np.ndarray]:
+def fit(pages: DataFrame, sample: int = SAMPLE, made: int = 900) -> dict[str, np.ndarray]:
     """Trains the labeller; at most `sample` rows reach the driver."""
     usable, order = pages.filter(F.col("html").isNotNull() & (F.length("html") < 200_000)), [F.xxhash64("page_id"), F.col("page_id")]
     ids = [x[0] for x in usable.orderBy(*order).select("page_id").limit(sample).collect()]  # ids alone first, so that tasks send no pages which aren't taken
