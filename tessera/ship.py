@@ -16,7 +16,9 @@ _sent: set[str] = set()
 
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Sends the package's sources to the executors once per application."""
+    """Sends the package's sources to the executors once per application, and keeps Arrow batches small: a row may be a long text."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     context = spark.sparkContext
     if context.applicationId not in _sent:
         _sent.add(context.applicationId)
