@@ -323,7 +323,7 @@ def made_page(r: random.Random) -> tuple[list, list[int]]:
     say = lambda a, b: (" ".join(word() for _ in range(r.randint(a, b))).capitalize() + r.choice([".", ".", ".", "", "!"]))
     out: list[tuple[tuple, str, int]] = []
     y: list[int] = []
-    top = (("html", ""), ("body", r.choice(["", "", "home", "page"])))
+    top = r.choice([(("html", ""),), ()]) + (("body", r.choice(["", "", "home", "page"])),)
     shell = top + r.choice([(), (), (("div", r.choice(["wrap", "container", "page", "site"])),)])
     style = r.choice(["tags", "tags", "divs", "divs", "table"])  # what the page's parts are made of
     if style == "table":
@@ -337,7 +337,7 @@ def made_page(r: random.Random) -> tuple[list, list[int]]:
     def part(kind: str, inside: tuple = ()) -> None:
         names = r.choice(ASIDE[kind].split())
         tag = "td" if style == "table" and not inside else "div" if style == "divs" or r.random() > 0.6 else kind
-        path = (inside or shell) + ((tag, names if tag == "div" or r.random() < 0.5 else ""),)
+        path = (inside or shell) + ((tag, names if tag == "div" or kind == "section" or r.random() < 0.5 else ""),)
         if kind in ("nav", "aside", "header", "footer") and r.random() < 0.75:
             heading = kind == "aside" and r.random() < 0.5
             if heading:
@@ -362,7 +362,8 @@ def made_page(r: random.Random) -> tuple[list, list[int]]:
         tag = "td" if style == "table" else "div" if style == "divs" else r.choice(["article", "article", "main", "div", "section"])
         path = shell + (r.choice([(), (("main", ""),)]) if style == "tags" else ()) + ((tag, "" if tag in ("article", "main") and r.random() < 0.6 else name),)
         if r.random() < 0.8:
-            add(path + ((r.choice(["h1", "h1", "h1", "div" if plain else "h2"]), ""),), say(1, 10), 0, 1)
+            tag = r.choice(["h1", "h1", "div" if plain else "h1", "div" if plain else "h2"])
+            add(path + ((tag, r.choice(["", "title", "headline", "title", "heading"]) if tag == "div" else ""),), say(1, 10), 0, 1)
         paragraph = r.choice([(("div", ""),), ()]) if plain and r.random() < 0.6 else (("p", ""),)
         for _ in range(r.choice([1, 2, 3, 5, 8, 14, 25])):
             if r.random() < 0.08:
@@ -397,7 +398,7 @@ def own_labels(page: list) -> list[int] | None:
     return out
 
 
-def fit(pages: DataFrame, sample: int = SAMPLE, made: int = 900) -> dict[str, np.ndarray]:
+def fit(pages: DataFrame, sample: int = SAMPLE, made: int = 1500) -> dict[str, np.ndarray]:
     """Trains the labeller; at most `sample` rows reach the driver."""
     usable, order = pages.filter(F.col("html").isNotNull() & (F.length("html") < 200_000)), [F.xxhash64("page_id"), F.col("page_id")]
     ids = [x[0] for x in usable.orderBy(*order).select("page_id").limit(sample).collect()]  # ids alone first, so that tasks send no pages which aren't taken

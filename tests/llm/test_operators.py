@@ -184,6 +184,48 @@ def test_made_pages_are_labelled(labeller):
     assert hits.mean() > 0.95
 
 
+def test_pages_of_other_templates(labeller):
+    """Pages that no grammar made: divisions with ids, a table as layout, tables in an article, boxes within one, comments behind it."""
+    one = "The council met on Tuesday to discuss the new bridge across the river, which has been planned for more than ten years and will cost two million."
+    two = "Residents had asked for a second crossing since the old one was closed to lorries, and many of them came to the meeting to hear the decision."
+    pages = {
+        f'<body><div id="top"><a href="/">Home</a> <a href="/n">News</a></div><div id="content"><div id="title">Bridge approved</div><div>{one}</div><div>{two}</div></div><div id="right"><div>More stories</div><div><a href="/a">Rain expected</a></div><div><a href="/b">Team wins again</a></div></div><div id="bottom">Copyright 2020 The Paper</div></body>': [one, two],
+        f'<body><table><tr><td class="leftcol"><a href="/">Home</a><br><a href="/n">News</a></td><td class="maincol"><h1>Bridge approved</h1><p>{one}</p><p>{two}</p></td></tr><tr><td colspan="2" class="footer">Copyright 2020</td></tr></table></body>': ["Bridge approved", one, two],
+        f'<body><nav><a href="/">Home</a></nav><main><h1>Bridge costs</h1><p>{one}</p><table><tr><th>Year</th><th>Cost</th></tr><tr><td>2019</td><td>1.5</td></tr></table><p>{two}</p></main><footer>Copyright</footer></body>': ["Bridge costs", one, "Year", "Cost", "2019", "1.5", two],
+        f'<body><header><a href="/">The Paper</a></header><article><h1>Bridge approved</h1><div class="share"><a href="x">Share on X</a></div><p>{one}</p><p>{two}</p><div class="ad">Buy one, get one free today only!</div></article><section class="comments"><h2>Comments</h2><div class="comment"><p>I never liked that bridge and will not use it.</p></div></section><footer>About us</footer></body>': ["Bridge approved", one, two],
+    }
+    for html, want in pages.items():
+        page = extraction.blocks(html)
+        kept = [t for (_, t, _), k in zip(page, extraction.label(labeller, [page])[0], strict=True) if k]
+        assert [t for t in kept if t != "Bridge approved"] == [t for t in want if t != "Bridge approved"]
+
+
+def test_empty_tables_long_pages_and_added_columns(spark, labeller):
+    many = "".join(f"<p>Part {i} of a very long story about the bridge, told again.</p>" for i in range(20_000))
+    rows = [(1, "u", f"<body><nav><a href='/'>Home</a></nav><article><h1>Long</h1>{many}</article></body>", "x")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
+    got = extraction.extract(pages, labeller).collect()
+    assert got[0]["text"].startswith("Long\n\nPart 0 of") and got[0]["text"].count("\n\n") == 20_000 and got[0]["n_chars"] == len(got[0]["text"])
+    assert extraction.extract(pages.filter("false"), labeller).count() == 0 and extraction.extract(pages.filter("false"), extraction.fit(pages.filter("false"))).count() == 0
+
+
+def test_a_small_step_lowers_the_loss():
+    r = random.Random(5)
+    pages, labels = map(list, zip(*(extraction.made_page(r) for _ in range(3)), strict=True))
+    p = {k: v.astype(np.float64) for k, v in extraction.begin().items()}
+    x, sizes = extraction.vectors(pages).astype(np.float64), [len(q) for q in pages]
+    y = np.concatenate(labels)
+
+    def loss(q):
+        logit, *_ = extraction.forward(q, x, sizes)
+        flat = np.concatenate([logit[:n, i] for i, n in enumerate(sizes)])
+        return float(np.mean(np.logaddexp(0, -np.where(y == 1, flat, -flat))))
+
+    # the trainer's first steps go downhill
+    before, after = loss(p), loss(extraction.train(pages, labels, passes=1, rate=1e-4))
+    assert after < before
+
+
 def test_gradients():
     r = random.Random(5)
     pages, labels = map(list, zip(*(extraction.made_page(r) for _ in range(3)), strict=True))
