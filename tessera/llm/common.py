@@ -16,9 +16,11 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: the session's spark.checkpoint.dir.
 
-    Only where the session names none (tests, local runs) a temporary folder is set.
+    Only where the session names none and runs on this machine alone (tests, local runs) a temporary folder is set.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found and not spark.sparkContext.master.startswith(("local[", "local ")) and spark.sparkContext.master != "local":
+        raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
     if not found:
         found = tempfile.mkdtemp(prefix="tessera-")
         spark.sparkContext.setCheckpointDir(found)
