@@ -5,6 +5,8 @@ A word is a run of letters, digits or bytes above 127 of the lower-cased UTF-8 t
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -15,6 +17,7 @@ GOLD, MIX1, MIX2, BASE = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1
 IS_WORD = np.zeros(256, bool)
 IS_WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 
+_libc = ctypes.CDLL(None)
 _powers: dict[str, np.ndarray] = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
 
 
@@ -45,6 +48,13 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return made["up"], made["down"]
 
 
+def tidy() -> None:
+    """Gives memory that this worker holds without need back to the system, as workers go from one operator's tasks to another's."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_libc, "malloc_trim"):
+        _libc.malloc_trim(0)
+
+
 def flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of all texts (null: none) and where each begins, with the end."""
     texts = pc.fill_null(texts.cast(pa.large_string()), "")

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .common import read_table, stage, text_col, unstage
 from .graph import components
-from .kernels import mix, salt, shingles, text_slices
+from .kernels import mix, salt, shingles, text_slices, tidy
 
 WIDTH, SIMILARITY, BANDS, ROWS, BUCKETS, SPREAD = 5, 0.8, 12, 3, 18, 1.0
 
@@ -57,6 +57,7 @@ def weights(docs: DataFrame, spread: float = SPREAD) -> np.ndarray:
                 n += e - a
         some = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1)), pa.array(np.append(seen[some], n))], names=["k", "n"])
+        tidy()
 
     found = docs.select(text_col().alias("text")).mapInArrow(count, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).toArrow()  # 2 ** BUCKETS + 1 rows at most
     k, n = found["k"].to_numpy(), found["n"].to_numpy()
@@ -121,6 +122,7 @@ def signatures(docs: DataFrame, idf: np.ndarray, bands: int = BANDS, rows: int =
                         out[i] = row
                 nodes = [hashlib.md5(x.as_py().encode()).digest() for x in texts]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(a, e - a), pa.array(nodes, pa.binary()), pa.array(mean), pa.array(out, pa.list_(pa.int64()))], names=["doc_id", "node", "mean", "bands"])
+        tidy()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_col().alias("text")).mapInArrow(sign, "doc_id long, node binary, mean double, bands array<long>")
 
@@ -153,6 +155,7 @@ def verified(pairs: DataFrame, texts: DataFrame, idf: np.ndarray) -> DataFrame:
                 e = min(max(a + 1, int(np.searchsorted(ends, ends[a] + (4 << 20)))), a + (1 << 14), b.num_rows)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(a, e - a), b.column(1).slice(a, e - a), pa.array(similarity(b.column(2).slice(a, e - a), b.column(3).slice(a, e - a), sent.value))], names=["a", "b", "score"])
                 a = e
+        tidy()
 
     return two.mapInArrow(compare, "a binary, b binary, score double")
 

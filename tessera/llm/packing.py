@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import read_table, stage, text_col
+from .kernels import tidy
 
 LIMIT, CACHE = 2048, 150_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -85,6 +86,7 @@ def pieces(docs: DataFrame, vocabulary: str, limit: int = LIMIT) -> DataFrame:
                     for c, v in zip(cols, (doc, k, at // 4, len(part) // 4, zlib.crc32(part)), strict=True):
                         c.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+        tidy()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_col().alias("text")).mapInArrow(cut, PIECES)
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import read_table, text_col
-from .kernels import IS_WORD, flat, mix, salt, span_hashes, spans, text_slices
+from .kernels import IS_WORD, flat, mix, salt, span_hashes, spans, text_slices, tidy
 
 BITS, MAX_TRAIN, THRESHOLD = 18, 3000, 0.3
 LOWER = np.arange(256, dtype=np.uint8)
@@ -198,6 +198,7 @@ def score(docs: DataFrame, model: tuple, keep: list[str] | None = None, name: st
                 m = np.bincount(of, wr[f], e - a) / np.maximum(1e-9, np.sqrt(np.bincount(of, rr[f], e - a))) + bias
                 out.append(1 / (1 + np.exp(-np.clip(m * slope + offset, -30, 30))))
             yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(np.concatenate(out))], names=[*keep, name])
+        tidy()
 
     return rows.mapInArrow(apply, schema)
 
