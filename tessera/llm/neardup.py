@@ -64,6 +64,8 @@ def weights(docs: DataFrame, spread: float = SPREAD) -> np.ndarray:
     df = np.zeros(1 << BUCKETS)
     df[k[k >= 0]] = n[k >= 0]
     total = float(n[k < 0].sum())
+    del found
+    tidy()
     df = np.clip(df - np.median(df), 1, max(1, total))
     return (1 + spread * np.log((1 + total) / (1 + df)) / max(np.log(1 + total), 1e-9)).astype(np.float32) if total else np.ones(1 << BUCKETS, np.float32)
 

@@ -175,7 +175,10 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> tuple
 
     found = some.withColumn("quality", F.col("quality").cast("int")).mapInArrow(extract, "doc_id long, quality int, f binary").toPandas()
     found = found.drop_duplicates("doc_id").sort_values("doc_id")
-    return train([np.frombuffer(x, "<i4") for x in found["f"]], found["quality"].to_numpy())
+    model = train([np.frombuffer(x, "<i4") for x in found["f"]], found["quality"].to_numpy())
+    del found
+    tidy()
+    return model
 
 
 def score(docs: DataFrame, model: tuple, keep: list[str] | None = None, name: str = "score") -> DataFrame:
