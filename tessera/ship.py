@@ -12,11 +12,14 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 ROOT = Path(__file__).resolve().parent.parent
+PLAN = 1 << 16
 _sent: set[str] = set()
 
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Sends the package's sources to the executors once per application, and keeps Arrow batches small: a row may be a long text."""
+    """Sends the package's sources to the executors once per application, and keeps Arrow batches (a row may be a long text) and the plan texts that the driver stores small."""
+    if int(spark.conf.get("spark.sql.maxPlanStringLength")) > PLAN:
+        spark.conf.set("spark.sql.maxPlanStringLength", str(PLAN))
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     context = spark.sparkContext
