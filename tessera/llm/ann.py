@@ -2,7 +2,7 @@
 
 Each vector is represented by the REACH pivots nearest to it, in order. It is posted in the inverted files of the first few of
 them, with that order alone; a query reads the files of its own first pivots, ranks what it finds there by the footrule distance of the two
-orders (pivots that one of them lacks count as REACH), and the best 9 * sqrt(n) are reranked by exact cosine in double precision.
+orders (pivots that one of them lacks count as REACH), and the best 20 * n ** 0.4 are reranked by exact cosine in double precision.
 Pivots are 12 * sqrt(n), up to PIVOTS; a vector is posted in POST files and a query reads 0.48 * pivots / POST of them, so it meets about a
 third of all rows, and reranks a share that falls with their number. Up to SMALL rows all files are read.
 
@@ -174,7 +174,7 @@ def shape(n: int) -> tuple[int, int, int, int]:
     if n <= SMALL:
         return max(1, min(16, n)), 1, max(1, min(16, n)), max(1, n)
     pivots = max(16, min(PIVOTS, int(12 * math.sqrt(n)), n // 4))
-    return pivots, POST, math.ceil(0.48 * pivots / POST), math.ceil(9 * math.sqrt(n))
+    return pivots, POST, math.ceil(0.48 * pivots / POST), math.ceil(20 * n**0.4)
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
