@@ -351,6 +351,8 @@ def made_page(r: random.Random) -> tuple[list, list[int]]:
                     t = say(1, 4)
                     add(path + listed, t, len(t), 0)
         else:
+            if kind == "section" and r.random() < 0.7:
+                add(path + ((r.choice(["h2", "h2", "h3"]), ""),), say(1, 3), 0, 0)
             for _ in range(r.randint(1, 6 if kind == "section" else 2)):
                 t = say(2, 40 if kind == "section" else 16)
                 add(path + r.choice([(), (("p", ""),), (("div", r.choice(["item", "comment", "box", ""])), ("p", ""))]), t, len(t) if kind == "div" and r.random() < 0.3 else 0, 0)
