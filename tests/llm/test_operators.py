@@ -143,6 +143,30 @@ def test_long_lines_edited_copies_and_repeated_rows(spark):
     assert got == brute_lines(rows)
 
 
+def test_rarity_is_counted_on_a_sample_and_no_order_of_tokens_loses_a_pair(spark, monkeypatch):
+    r = random.Random(15)
+    bases = [prose(r, r.randint(4, 30)) for _ in range(60)]
+
+    def line():
+        w = r.choice(bases).split()
+        if r.random() < 0.6:
+            w[r.randrange(len(w))] = f"e{r.randint(0, 99)}"
+        return "".join(x + r.choice(["  ", " ", " ", " ", "\t", "\r", "\f", "\v"]) for x in w)
+
+    rows = [(i, "\n".join(line() for _ in range(2))) for i in range(320)]
+    docs, want, read, count = make(spark, rows), brute_lines(rows), [], lines.rarity
+
+    def counted(some):
+        read.append(some.count())
+        return count(some)
+
+    monkeypatch.setattr(lines, "rarity", counted)
+    assert collections.Counter((x["doc_id"], x["text"]) for x in lines.dedup_lines(docs).collect()) == want
+    assert 0 < read[0] < len(rows) / 4
+    monkeypatch.setattr(lines, "rarity", lambda some: count(some.filter("false")))
+    assert collections.Counter((x["doc_id"], x["text"]) for x in lines.dedup_lines(docs).collect()) == want
+
+
 def test_lines_of_an_empty_table(spark):
     out = lines.dedup_lines(make(spark, []), counts=True)
     assert out.count() == 0 and out.columns[:7] == [c.split()[0] for c in DOCS.split(", ")]
