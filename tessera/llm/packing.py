@@ -44,32 +44,36 @@ def token_bytes(texts: list[str], vocabulary: str) -> list[bytes]:
     """Token ids of each text as little-endian 32-bit numbers, equal to the tokenizer's own.
 
     The vocabulary splits a text into words before it merges, so a word's ids don't depend on its
-    neighbours: each new word is given to the tokenizer once, and a bounded table keeps its ids.
+    neighbours: new words are given to the tokenizer, and two tables of CACHE words keep their ids. When the first is
+    full, it takes the second's place, whose words are forgotten unless they were met since: frequent words stay.
     """
     if vocabulary not in _loaded:
         from tokenizers import Tokenizer
 
-        _loaded[vocabulary] = (Tokenizer.from_file(vocabulary), {})
-    tokenizer, known = _loaded[vocabulary]
+        _loaded[vocabulary] = (Tokenizer.from_file(vocabulary), {}, {})
+    tokenizer, known, old = _loaded[vocabulary]
     out: list[bytes] = []
     for text in texts:
         if UNUSUAL.search(text):
             out.append(np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes())
             continue
         words = WORD.findall((text if unicodedata.is_normalized("NFC", text) else unicodedata.normalize("NFC", text)).lower())
-        try:
-            out.append(b"".join([known[w] for w in words]))
-        except KeyError:
-            new = [w for w in dict.fromkeys(words) if w not in known]
-            if len(known) + len(new) > CACHE:
-                known.clear()
-                new = list(dict.fromkeys(words))
-            found = tokenizer.encode(" ".join(new), add_special_tokens=False)
+        new = set(words).difference(known)
+        if new and old:
+            again = {w: old[w] for w in new if w in old}
+            known.update(again)
+            new.difference_update(again)
+        if new:
+            listed = list(new)
+            found = tokenizer.encode(" ".join(listed), add_special_tokens=False)
             ids, of = np.array(found.ids, "<u4"), np.array(found.word_ids)
-            cuts = np.searchsorted(of, np.arange(len(new) + 1)) * 4
+            cuts = (np.searchsorted(of, np.arange(len(listed) + 1)) * 4).tolist()
             flat = ids.tobytes()
-            known.update((w, flat[a:b]) for w, a, b in zip(new, cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
-            out.append(b"".join([known[w] for w in words]))
+            known.update(zip(listed, [flat[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)], strict=True))
+        out.append(b"".join(map(known.__getitem__, words)))
+        if len(known) > CACHE:
+            known, old = {}, known
+            _loaded[vocabulary] = (tokenizer, known, old)
     return out
 
 

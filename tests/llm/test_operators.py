@@ -363,6 +363,26 @@ def test_token_bytes_equal_the_tokenizer():
         assert packing.token_bytes([t], path)[0] == np.array(own.encode(t, add_special_tokens=False).ids, "<u4").tobytes(), repr(t)
 
 
+def test_frequent_words_stay_known_when_the_table_of_words_is_full(monkeypatch):
+    path, r, asked = packing.default_vocabulary(), random.Random(16), []
+
+    class Counting:
+        def encode(self, text, **more):
+            asked.extend(text.split())
+            return own.encode(text, **more)
+
+    monkeypatch.setattr(packing, "_loaded", {})
+    monkeypatch.setattr(packing, "CACHE", 60)
+    packing.token_bytes([""], path)
+    own, *rest = packing._loaded[path]
+    packing._loaded[path] = (Counting(), *rest)
+    often = ["".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(40)]
+    for i in range(200):
+        text = " ".join([*often, *(chr(97 + i // 26) + chr(97 + i % 26) + chr(97 + k) * 4 for k in range(15))])
+        assert packing.token_bytes([text], path)[0] == np.array(own.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    assert asked.count(often[0]) == 1 and len(packing._loaded[path][1]) < 200
+
+
 def test_packing_is_gapless_and_tight(spark, texts):
     got = packing.pack(make(spark, texts), packing.default_vocabulary(), 128).collect()
     bins = collections.defaultdict(list)
