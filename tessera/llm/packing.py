@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import read_table, stage, text_col
 from .kernels import tidy
 
-LIMIT, CACHE = 2048, 150_000
+LIMIT, CACHE = 2048, 100_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 #: Letters, numbers and white space below U+0250, as Unicode has them.
@@ -77,6 +77,13 @@ def token_bytes(texts: list[str], vocabulary: str) -> list[bytes]:
     return out
 
 
+def forget(vocabulary: str) -> None:
+    """Leaves one table of words between tasks, the newer one if it is half full, as workers go on to other operators' tasks."""
+    if vocabulary in _loaded:
+        tokenizer, known, old = _loaded[vocabulary]
+        _loaded[vocabulary] = (tokenizer, known if len(known) > CACHE // 2 or not old else old, {})
+
+
 def pieces(docs: DataFrame, vocabulary: str, limit: int = LIMIT) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32: only documents over the limit are cut."""
 
@@ -90,6 +97,7 @@ def pieces(docs: DataFrame, vocabulary: str, limit: int = LIMIT) -> DataFrame:
                     for c, v in zip(cols, (doc, k, at // 4, len(part) // 4, zlib.crc32(part)), strict=True):
                         c.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+        forget(vocabulary)
         tidy()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_col().alias("text")).mapInArrow(cut, PIECES)

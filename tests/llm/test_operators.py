@@ -381,6 +381,8 @@ def test_frequent_words_stay_known_when_the_table_of_words_is_full(monkeypatch):
         text = " ".join([*often, *(chr(97 + i // 26) + chr(97 + i % 26) + chr(97 + k) * 4 for k in range(15))])
         assert packing.token_bytes([text], path)[0] == np.array(own.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
     assert asked.count(often[0]) == 1 and len(packing._loaded[path][1]) < 200
+    packing.forget(path)
+    assert 0 < len(packing._loaded[path][1]) < 200 and not packing._loaded[path][2]
 
 
 def test_packing_is_gapless_and_tight(spark, texts):
