@@ -11,13 +11,15 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE, KEEP = (1 << 20) - (1 << 12), 1 << 21
+SLICE, KEEP = (1 << 20) - (1 << 12), 1 << 19
 GOLD, MIX1, MIX2, BASE = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0x100000001B3))
 
 IS_WORD = np.zeros(256, bool)
 IS_WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 
 _libc = ctypes.CDLL(None)
+#: What an operator keeps in a worker between its tasks, by the operator.
+kept: dict[str, dict] = {}
 _powers: dict[str, np.ndarray] = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
 
 
@@ -48,8 +50,16 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return made["up"], made["down"]
 
 
+def begin(operator: str) -> None:
+    """Drops what other operators have kept in this worker, as workers go from one operator's tasks to another's."""
+    for name, tables in kept.items():
+        if name != operator:
+            tables.clear()
+    tidy()
+
+
 def tidy() -> None:
-    """Gives memory that this worker holds without need back to the system, as workers go from one operator's tasks to another's."""
+    """Gives memory that this worker holds without need back to the system."""
     pa.default_memory_pool().release_unused()
     if hasattr(_libc, "malloc_trim"):
         _libc.malloc_trim(0)

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .common import read_table, stage, text_col, unstage
 from .graph import components
-from .kernels import mix, salt, shingles, text_slices, tidy
+from .kernels import begin, mix, salt, shingles, text_slices, tidy
 
 WIDTH, SIMILARITY, BANDS, ROWS, BUCKETS, SPREAD = 5, 0.8, 12, 3, 18, 1.0
 
@@ -48,6 +48,7 @@ def weights(docs: DataFrame, spread: float = SPREAD) -> np.ndarray:
     """The weight of every bucket's shingles by their document frequency, over all documents."""
 
     def count(batches):
+        begin("neardup")
         seen, n = np.zeros(1 << BUCKETS, np.int64), 0
         for b in batches:
             for a, e in text_slices(b.column(0)):
@@ -103,6 +104,7 @@ def signatures(docs: DataFrame, idf: np.ndarray, bands: int = BANDS, rows: int =
     sent = docs.sparkSession.sparkContext.broadcast(idf)  # 2 ** BUCKETS numbers
 
     def sign(batches):
+        begin("neardup")
         w = sent.value
         for b in batches:
             for a, e in text_slices(b.column(1)):
@@ -149,6 +151,7 @@ def verified(pairs: DataFrame, texts: DataFrame, idf: np.ndarray) -> DataFrame:
     two = one.join(texts.select(F.col("node").alias("b"), F.col("text").alias("right")), "b").select("a", "b", "left", "right")
 
     def compare(batches):
+        begin("neardup")
         for b in batches:
             sizes = pc.add(pc.binary_length(b.column(2)), pc.binary_length(b.column(3))).to_numpy()
             ends = np.concatenate([[0], np.cumsum(sizes)])
@@ -172,6 +175,7 @@ def prefixes(texts: DataFrame, idf: np.ndarray, threshold: float) -> DataFrame:
     sent = texts.sparkSession.sparkContext.broadcast(idf)
 
     def post(batches):
+        begin("neardup")
         w_all = sent.value
         for b in batches:
             for a, e in text_slices(b.column(2)):

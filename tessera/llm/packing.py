@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import read_table, stage, text_col
-from .kernels import tidy
+from .kernels import begin, kept, tidy
 
 LIMIT, CACHE = 2048, 100_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -37,7 +37,7 @@ WORD = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{NUMBERS}]|[^{SPACES}
 #: Texts with other characters, or with the vocabulary's special tokens, go whole through the tokenizer.
 UNUSUAL = re.compile(r"[^\t-\r -~ -įĲ-ɏ‐-‧‰-⁞€]|<\|")
 
-_loaded: dict[str, tuple] = {}
+_loaded: dict[str, tuple] = kept.setdefault("packing", {})
 
 
 def token_bytes(texts: list[str], vocabulary: str) -> list[bytes]:
@@ -78,7 +78,7 @@ def token_bytes(texts: list[str], vocabulary: str) -> list[bytes]:
 
 
 def forget(vocabulary: str) -> None:
-    """Leaves one table of words between tasks, the newer one if it is half full, as workers go on to other operators' tasks."""
+    """Leaves one table of words between tasks, the newer one if it is half full; the first task of another operator drops it (`begin`)."""
     if vocabulary in _loaded:
         tokenizer, known, old = _loaded[vocabulary]
         _loaded[vocabulary] = (tokenizer, known if len(known) > CACHE // 2 or not old else old, {})
@@ -88,6 +88,7 @@ def pieces(docs: DataFrame, vocabulary: str, limit: int = LIMIT) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32: only documents over the limit are cut."""
 
     def cut(batches):
+        begin("packing")
         for b in batches:
             cols: list[list] = [[], [], [], [], []]
             for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):

@@ -19,11 +19,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from .common import read_table, text_col
-from .kernels import IS_WORD, flat, mix, salt, span_hashes, spans, text_slices, tidy
+from .kernels import IS_WORD, begin, flat, mix, salt, span_hashes, spans, text_slices, tidy
 
-BITS, MAX_TRAIN, THRESHOLD = 18, 3000, 0.3
+BITS, MAX_TRAIN, THRESHOLD, SLICE = 18, 3000, 0.3, 1 << 18
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 SPACE = np.zeros(256, bool)
@@ -166,9 +167,10 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> tuple
     some = docs.select("doc_id", text_col().alias("text")).join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", "text")  # max_train rows at most
 
     def extract(batches):
+        begin("quality")
         for b in batches:
             texts = b.column(2)
-            for a, e in text_slices(texts):
+            for a, e in text_slices(texts, SLICE):
                 of, f = features(texts.slice(a, e - a))
                 cuts = np.searchsorted(of, np.arange(e - a + 1))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(a, e - a), b.column(1).slice(a, e - a), pa.array([f[i:j].astype("<i4").tobytes() for i, j in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())], names=["doc_id", "quality", "f"])
@@ -188,19 +190,21 @@ def score(docs: DataFrame, model: tuple, keep: list[str] | None = None, name: st
         raise ValueError(f"the table has a column {name} already")
     w, r, bias, slope, offset = model
     sent = docs.sparkSession.sparkContext.broadcast(((w * r).astype(np.float64), r * r))  # 2 ** BITS numbers each
-    rows = docs.select(text_col().alias("__text"), *keep)
     schema = docs.select(*keep, F.lit(0.0).alias(name)).schema
+    at = keep.index("text") if "text" in keep and schema["text"].dataType == StringType() else -1  # a kept text isn't sent twice; flat reads null as empty
+    rows = docs.select(*keep) if at >= 0 else docs.select(*keep, text_col().alias("__text"))
 
     def apply(batches):
+        begin("quality")
         wr, rr = sent.value
         for b in batches:
-            texts = b.column(0)
+            texts = b.column(at)
             out = [np.zeros(0)]
-            for a, e in text_slices(texts):
+            for a, e in text_slices(texts, SLICE):
                 of, f = features(texts.slice(a, e - a))
                 m = np.bincount(of, wr[f], e - a) / np.maximum(1e-9, np.sqrt(np.bincount(of, rr[f], e - a))) + bias
                 out.append(1 / (1 + np.exp(-np.clip(m * slope + offset, -30, 30))))
-            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(np.concatenate(out))], names=[*keep, name])
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(np.concatenate(out))], names=[*keep, name])
         tidy()
 
     return rows.mapInArrow(apply, schema)

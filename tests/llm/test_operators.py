@@ -13,7 +13,8 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import ann, extraction, interleave, licenses, lines, mixing, neardup, packing, quality, repeats
+from tessera.llm import ann, extraction, interleave, kernels, licenses, lines, mixing, neardup, packing, quality, repeats
+from tessera.ship import ship
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, rank int, node string"
 
@@ -385,6 +386,28 @@ def test_frequent_words_stay_known_when_the_table_of_words_is_full(monkeypatch):
     assert 0 < len(packing._loaded[path][1]) < 200 and not packing._loaded[path][2]
 
 
+def test_workers_keep_little_from_one_operator_to_the_next(spark):
+    docs = spark.createDataFrame([(i, "one two " * 5000) for i in range(200)], "doc_id long, text string").coalesce(1)
+    path = packing.default_vocabulary()
+
+    def sizes(batches):
+        yield pa.RecordBatch.from_arrays([pa.array([b.num_rows for b in batches])], names=["n"])
+
+    ship(spark)
+    assert max(r.n for r in docs.mapInArrow(sizes, "n long").collect()) < 100  # 200 texts of 40,000 bytes
+    one = docs.limit(1).coalesce(1)
+    packing.token_bytes(["one two"], path)
+    kernels.begin("packing")
+    assert path in packing._loaded
+    kernels.begin("quality")
+    assert not packing._loaded and packing.token_bytes(["one two"], path)[0]
+    packing.pieces(one, path).collect()
+    model = (np.zeros(1 << quality.BITS), np.zeros(1 << quality.BITS), 0.0, 0.0, 0.0)
+    assert quality.score(one, model).columns == ["doc_id", "text", "score"] and quality.score(one, model).first().score == 0.5
+    kernels.powers(1 << 20)
+    assert len(kernels._powers["up"]) <= 1 << 19
+
+
 def test_packing_is_gapless_and_tight(spark, texts):
     got = packing.pack(make(spark, texts), packing.default_vocabulary(), 128).collect()
     bins = collections.defaultdict(list)
