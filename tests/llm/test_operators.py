@@ -168,6 +168,36 @@ def test_rarity_is_counted_on_a_sample_and_no_order_of_tokens_loses_a_pair(spark
     assert collections.Counter((x["doc_id"], x["text"]) for x in lines.dedup_lines(docs).collect()) == want
 
 
+def test_the_keys_of_a_line_are_dealt_once(spark, monkeypatch):
+    r, sc, kept, stage = random.Random(16), spark.sparkContext, {}, lines.stage
+    rows = [(i, "\n".join(" ".join(f"w{r.randrange(10 ** 7)}" for _ in range(200)) for _ in range(4))) for i in range(100)]
+
+    def dealt():
+        sc._jsc.sc().listenerBus().waitUntilEmpty()
+        nothing = sc._jvm.java.util.ArrayList()
+        found = sc._jsc.sc().statusStore().stageList(nothing, False, False, sc._gateway.new_array(sc._jvm.double, 0), nothing)
+        return sum(found.apply(i).shuffleWriteRecords() for i in range(found.size()))
+
+    def staged(df, name):
+        out = stage(df, name)
+        if name == "sets":
+            kept["keys"] = out.agg(F.sum(F.size("__prefix"))).first()[0]
+        return out
+
+    monkeypatch.setattr(lines, "stage", staged)
+    rows += [(200 + i, rows[i][1].replace("w1", "v1")) for i in range(2)]
+    limit = "spark.sql.autoBroadcastJoinThreshold"
+    known = spark.conf.get(limit)
+    spark.conf.set(limit, "-1")
+    before = dealt()
+    try:
+        lines.similar_lines(make(spark, rows))
+    finally:
+        spark.conf.set(limit, known)
+    assert kept["keys"] > 30_000
+    assert kept["keys"] <= dealt() - before < 1.6 * kept["keys"]
+
+
 def test_lines_of_an_empty_table(spark):
     out = lines.dedup_lines(make(spark, []), counts=True)
     assert out.count() == 0 and out.columns[:7] == [c.split()[0] for c in DOCS.split(", ")]
