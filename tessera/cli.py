@@ -67,7 +67,7 @@ def query(spark: SparkSession, base: str, question: str, config: RetrievalConfig
     chunks = store.Current.read(spark, base).chunks
     intents = spark.createDataFrame([(0, question)], "conv_id int, intent string")
     shown = chunks.select("id", "path", "order", "text", "updated_at", F.get_json_object("payload", "$.creator").alias("creator"))
-    found = search(intents, chunks, embed.postings_of(chunks), config, embed_model, weigh).join(shown, "id")
+    found = search(intents, chunks, chunks.select("id", "keywords"), config, embed_model, weigh).join(shown, "id")
     return retrieve.report(found).select("rank", "score", "path", "order", "creator", "updated_at", "preview").orderBy("rank")
 
 
