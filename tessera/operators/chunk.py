@@ -84,13 +84,13 @@ def context_prompt(document: Column, chunk: Column) -> Column:
     return F.concat(F.lit("Document:\n"), document, F.lit("\n\nPart:\n"), chunk, F.lit("\n\nSay in one sentence what the part is about."))
 
 
-def number_parts(docs: DataFrame, texts: Column) -> DataFrame:
-    """One row per text of each document: id, doc_id, path, order, total, text, context, updated_at.
+def number_parts(docs: DataFrame, texts: Column, *more: str) -> DataFrame:
+    """One row per text of each document: id, doc_id, path, order, total, text, context, updated_at, and `more` columns of the document.
 
     The count and the numbers come from the document's own array, so no shuffle is needed.
     """
-    rows = docs.withColumn("__p", texts).select("doc_id", "path", "updated_at", F.size("__p").alias("total"), F.posexplode("__p").alias("order", "text"))
-    return rows.select(point_id(F.concat_ws("#", "doc_id", "order")).alias("id"), "doc_id", "path", "order", "total", "text", F.lit("").alias("context"), "updated_at")
+    rows = docs.withColumn("__p", texts).select("doc_id", "path", "updated_at", *more, F.size("__p").alias("total"), F.posexplode("__p").alias("order", "text"))
+    return rows.select(point_id(F.concat_ws("#", "doc_id", "order")).alias("id"), "doc_id", "path", "order", "total", "text", F.lit("").alias("context"), "updated_at", *more)
 
 
 def number_chunks(docs: DataFrame, blocks: Column, limit: int, cut: Callable[[Column], Column] | None = None) -> DataFrame:

@@ -32,6 +32,9 @@ class Indexer:
 
     def chunk(self, docs: DataFrame) -> DataFrame:
         """Chunks with their dense vector `full`, sparse vector `keywords` and payload."""
+        have = lambda c, kind: F.col(c).cast(kind) if c in docs.columns else F.lit(None).cast(kind)
+        about = metadata_payload(have("creator", "string"), have("created_at", "timestamp")) if {"creator", "created_at"} & set(docs.columns) else F.lit("{}")
+        told = docs.withColumn("__about", about)
         limit, count, splitters = self.config.safe_limit, self.count, self.splitters
         model = self.model
 
@@ -43,19 +46,13 @@ class Indexer:
             asked = docs.withColumn("__b", texts).select("*", F.posexplode("__b").alias("__n", "__t")).drop("__b")
             answered = asked.select("id", "__n", model_chunks(F.col("__t"), model).alias("__c"))
             own = answered.groupBy("id").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("__n", "__c"))), lambda x: x["__c"])).alias("__t"))
-            rows = number_parts(docs.join(own, "id").withColumnRenamed("id", "doc_id"), F.col("__t"))
+            rows = number_parts(told.join(own, "id").withColumnRenamed("id", "doc_id"), F.col("__t"), "__about")
         else:
-            rows = number_parts(docs.withColumnRenamed("id", "doc_id"), texts)
+            rows = number_parts(told.withColumnRenamed("id", "doc_id"), texts, "__about")
         if self.config.context == "llm" and model:
             whole = docs.select(F.col("id").alias("doc_id"), F.col("text").alias("__doc"))
             rows = rows.join(whole, "doc_id").withColumn("context", complete(context_prompt(F.col("__doc"), F.col("text")), model, "")).drop("__doc")
-        have = lambda c, kind: F.col(c).cast(kind) if c in docs.columns else F.lit(None).cast(kind)
-        about = docs.select(F.col("id").alias("doc_id"), metadata_payload(have("creator", "string"), have("created_at", "timestamp")).alias("payload"))
-        if {"creator", "created_at"} & set(docs.columns):
-            rows = rows.join(about, "doc_id")
-        else:
-            rows = rows.withColumn("payload", F.lit("{}"))
-        rows = rows.withColumn("full", dense(dense_text(), self.embed)).withColumn("keywords", sparse(F.col("text"), self.weigh))
+        rows = rows.withColumnRenamed("__about", "payload").withColumn("full", dense(dense_text(), self.embed)).withColumn("keywords", sparse(F.col("text"), self.weigh))
         for step in self.chunk_steps:
             rows = step(rows, docs)
         return rows
